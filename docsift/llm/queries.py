@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsift.llm import addresses, groups, lookalikes, mixing, names, tokens
+from docsift.llm import addresses, groups, lookalikes, mixing, names, scan_noise, tokens
 from docsift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_name_pairs(table(spark, d, "analyzed"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.scan_defects(table(spark, d, "doc_text"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repaired_texts(table(spark, d, "doc_text"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.match_groups(table(spark, d, "match_pairs"))
 
@@ -45,7 +53,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p4_found, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_repaired, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
