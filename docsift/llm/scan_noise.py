@@ -34,7 +34,7 @@ EPOCHS = 6
 
 _DIGIT = r"[\dOoIlBSZ]"
 _PAGE = re.compile(rf"(?:(?:page|pg\.?|p\.?|seite|s\.)\s*({_DIGIT}{{1,4}})(?:\s*(?:of|/|von)\s*{_DIGIT}{{1,4}})?|\[({_DIGIT}{{1,4}})/{_DIGIT}{{1,4}}\]|[-–—]\s?({_DIGIT}{{1,4}})\s?[-–—]|({_DIGIT}{{1,4}}) \| {_DIGIT}{{1,4}}|({_DIGIT}{{1,4}}))", re.I)
-_HEADER = re.compile(r"([^\W\d_][^:]{2,70}?)(?:\s+[|/–—-]\s+| {2,})([^\W\d_][\w@]*(?: [\w@]+){1,3}?)(?:[\s|/–—-]+(?:page |p\. ?|pg |seite )?[\dOIl/]{1,7})?", re.I)
+_HEADER = re.compile(r"(?:[\dOIl/]{1,7}\s+)?([^\W\d_][^:]{2,70}?)(?:\s+[|/–—-]\s+| {2,})([^\W\d_][\w@]*(?: [\w@]+){1,3}?)(?:[\s|/–—-]+(?:page |p\. ?|pg |seite )?[\dOIl/]{1,7})?", re.I)
 _ROLE = re.compile(r"sole trader|proprietor|prop\.?$|owner", re.I)
 _TABLE = re.compile(r"\S.* [\dOoIlBSZb]+ x [\dOoIlBSZb][\dOoIlBSZb,.]*")
 _KIND = re.compile(r"[A-Z0-9@ ]*(?:INVOICE|ORDER|RECEIPT|STATEMENT|MEMO|[A-Z]{4,})[A-Z0-9@ ]*")
@@ -82,7 +82,7 @@ def furniture(lines: list[str]) -> dict[int, str]:
     for i, _ in styled:
         out[i] = "page_number"
     if not styled and bare:
-        held = [i for i, h in out.items() if h == "header" and re.search(r"\d$", text[i])]
+        held = [i for i, h in out.items() if h == "header" and re.search(r"^\d|\d$", text[i])]
 
         def edge(i: int) -> bool:
             """At an end of a page: before a blank line or the end, or beside a header."""
@@ -92,6 +92,8 @@ def furniture(lines: list[str]) -> dict[int, str]:
             return any(0 <= k < n and (_TABLE.fullmatch(text[k]) or (k not in out and _PAGE.fullmatch(text[k]))) for k in (i - 1, i + 1))
 
         at = [(i, v) for i, v in bare if edge(i)]
+        beside = [i for i, _ in at if out.get(i + 1) == "header" or out.get(i - 1) == "header"]
+        out |= {i: "page_number" for i in beside if not in_table(i)}
         if not held:
             # page numbers rise by one from page to page: the longest such chain
             best: dict[int, list[int]] = {}
