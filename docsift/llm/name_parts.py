@@ -30,13 +30,13 @@ ROLES = re.compile(r"[,\-–(\s]*\b(?:sole trader|sole proprietor|proprietor|pro
 # Given names and the short forms in use for them.
 GIVEN = """
 abigail abby gail abbie|alexander alex sandy alec xander sasha lex|anjali anju anj|anthony tony ant|benjamin ben benny benji|catherine cathy kate|charles charlie chuck chas|christopher chris kit topher
-|daniel dan danny|david dave davy|deborah debbie deb debs|dorothy dolly dot dottie|edward ed eddie ted teddy ned|ekaterina katya katia|eleanor ellie nell nora nelly|elizabeth liz lizzie beth betty eliza lisa betsy libby
-|emily em emmy|florence flo flora|frances fran frannie francie|francisco paco pancho cisco fran|frederick fred freddie freddy|gabriella gabby ella gabi|george georgie|giuseppe beppe peppe pino
-|guadalupe lupe lupita|henry harry hank hal|isabella bella izzy isa|james jim jimmy jamie|jennifer jenny jen jenn|john jack johnny|jonathan jon jonny nathan|joseph joe joey|josephine josie jo joey
+|daniel dan danny|david dave davy|deborah debbie deb debs|dmitri mitya dima|dorothy dolly dot dottie|edward ed eddie ted teddy ned|ekaterina katya katia|eleanor ellie nell nora nelly|elizabeth liz lizzie beth betty eliza lisa betsy libby
+|emily em emmy|florence flo flora|frances fran frannie francie frankie|francisco paco pancho cisco fran|frederick fred freddie freddy|gabriella gabby ella gabi|george georgie|giuseppe beppe peppe pino
+|gregory greg|guadalupe lupe lupita|henry harry hank hal|isabella bella izzy isa|james jim jimmy jamie|jennifer jenny jen jenn|john jack johnny|jonathan jon jonny nathan|joseph joe joey|josephine josie jo joey
 |katherine kathy kate katie kat kitty kay|lawrence larry laurie lenny lars|leonard leo len lenny leon|louise lou|margaret maggie meg peggy madge marge greta|maria mary|matthew matt matty|maximilian max
-|michael mike mick mickey|mohan mo moni|natasha nat tasha|nathaniel nate nat nathan|nicholas nick nicky nico|olivia liv livvy ollie livia|patricia pat patty trish tricia|patrick pat paddy|penelope penny nell
+|michael mike mick mickey mikey misha|mohan mo moni monu|natasha nat tasha|nathaniel nate nat nathan|nicholas nick nicky nico|olivia liv livvy ollie livia|patricia pat patty trish tricia|patrick pat paddy|penelope penny nell
 |peter pete|philippa pippa pip|rajesh raj raju|raymond ray|rebecca becky becca bex|richard rick dick richie ricky rich|robert rob bob bobby bert robbie|samuel sam sammy|stephanie steph stevie|steven steve stevie
-|susanna sue susie suzy sanna susan|theodore ted theo teddy|thomas tom tommy|timothy tim timmy|valentina val valya tina|venkatesh venky venkat|victoria vicky vic tori|vincent vince vinny vin|wilhelmina mina willa billie minnie
+|susanna sue susie suzy sanna susan|theodore ted theo teddy|thomas tom tommy|timothy tim timmy|valentina val valya tina|venkatesh venky venkat|victoria vicky vic tori|vincent vince vinny vinnie vin|wilhelmina mina willa billie minnie
 |william will bill billy liam|yusuf yuyu yus joe|zachary zach zack zac
 """
 SHORT: dict[str, frozenset[str]] = {}
@@ -123,6 +123,9 @@ def read_name(text: str | None) -> Name | None:
         return None
     t = re.sub(r"\S{12,}", lambda m: re.sub(r"(?<=[a-z.])(?=[A-Z])", " ", m[0]), t)  # words run together
     low = re.sub(r"\bco-op\b", "coop", t.lower())
+    role = ROLES.search(low)
+    if role and role.end() >= len(low) - 1:
+        low, t = low[: role.start()], t[: role.start()]
     bare = LEGAL.sub(" ", f" {low} ").strip(" ,.-&")
     words = re.findall(r"[^\W\d_]+|\d+", re.sub(r"\b(?:the|and)\b|&", " ", bare))
     trades: list[str] = []

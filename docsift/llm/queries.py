@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsift.llm import addresses, groups, lookalikes, mixing, names, scan_noise, tokens
+from docsift.llm import addresses, groups, lookalikes, mixing, names, personal, scan_noise, tokens
 from docsift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_place_pairs(table(spark, d, "analyzed"), table(spark, d, "city_ref"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_personal(table(spark, d, "doc_text"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted_texts(table(spark, d, "doc_text"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_name_pairs(table(spark, d, "analyzed"))
 
@@ -53,7 +61,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_repaired, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p5_found, p5_repaired, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
