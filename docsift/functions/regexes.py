@@ -41,9 +41,24 @@ def literal(text: str) -> str:
     return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", text)
 
 
+def _start(word: bool) -> str:
+    return r"(?<![A-Za-z0-9_])" if word else r"(?<=[A-Za-z0-9_])"
+
+
+def _end(word: bool) -> str:
+    return r"(?![A-Za-z0-9_])" if word else r"(?=[A-Za-z0-9_])"
+
+
 def phrase(text: str, boundary: str = B) -> str:
-    """The pattern of a label or keyword: white space is any run of it, with boundaries at both ends."""
-    return boundary + re.sub(r"\s+", r"\\s+", literal(text)) + boundary
+    """The pattern of a label or keyword: white space is any run of it, with boundaries at both ends.
+
+    What a boundary means at an end is known from the character there, so Java needs one look only.
+    """
+    body = re.sub(r"\s+", r"\\s+", literal(text))
+    if boundary != B:
+        return boundary + body + boundary
+    is_word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    return _start(is_word(text[0])) + body + _end(is_word(text[-1]))
 
 
 def labeled_id(label: str, boundary: str = B, ident: str = ID) -> str:
@@ -51,16 +66,21 @@ def labeled_id(label: str, boundary: str = B, ident: str = ID) -> str:
 
 
 def labeled_amount(label: str, boundary: str = B) -> str:
-    return "(?i)" + phrase(label, boundary) + r"\s*[:.]?\s*" + CURRENCY + MONEY_LABELED + boundary
+    return "(?i)" + phrase(label, boundary) + r"\s*[:.]?\s*" + CURRENCY + MONEY_LABELED + (_end(True) if boundary == B else boundary)
+
+
+def around(pattern: str, boundary: str = B) -> str:
+    """``pattern``, which begins and ends with a word character, between boundaries."""
+    return _start(True) + pattern + _end(True) if boundary == B else boundary + pattern + boundary
 
 
 def any_amount(boundary: str = B) -> str:
-    return boundary + MONEY_FORMATTED + boundary
+    return around(MONEY_FORMATTED, boundary)
 
 
 def dates(boundary: str = B) -> list[str]:
-    return ["(?i)" + boundary + p + boundary for p in DATES]
+    return ["(?i)" + around(p, boundary) for p in DATES]
 
 
 def words(pattern: str, boundary: str = B) -> str:
-    return "(?i)" + boundary + pattern + boundary
+    return "(?i)" + (_start(True) if boundary == B else boundary) + pattern + boundary

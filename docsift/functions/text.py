@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docsift.functions.regexes import JSWS, PAGE_MARKER
+from docsift.functions.regexes import JSWS, PAGE_MARKER, phrase
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def has_phrase(text_c: Column, low: Column, words: str) -> Column:
+    """Whether collapsed text holds a label or keyword; ``low`` is the text in lower case, searched first, as a plain
+    search costs far less than the pattern with its boundaries."""
+    return low.contains(" ".join(words.lower().split())) & text_c.rlike("(?i)" + phrase(words))
 
 
 def collapse_ws(text: Column) -> Column:

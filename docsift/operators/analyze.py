@@ -19,7 +19,7 @@ def split_text(df: DataFrame, text: str = "text") -> DataFrame:
 def classify(df: DataFrame, config: Config | None = None, text: str = "text") -> DataFrame:
     """``df`` with ``documentType``; Unknown for null and empty texts."""
     config = config or default()
-    return split_text(df, text).withColumn("documentType", F.coalesce(document_type(keyword_scores(F.coalesce("text_c", F.lit("")), config)), F.lit("Unknown")))
+    return split_text(df, text).withColumn("documentType", document_type(keyword_scores(F.coalesce("text_c", F.lit("")), config)))
 
 
 def _field(spec, config: Config) -> Column:  # noqa: ANN001

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docsift.config import Config
-from docsift.functions.regexes import phrase
+from docsift.functions.text import has_phrase, let
 
 UNKNOWN = "Unknown"
 
@@ -14,12 +14,13 @@ UNKNOWN = "Unknown"
 def keyword_scores(text_c: Column, config: Config) -> dict[str, Column]:
     """The score of each type but Unknown: the weights of its keywords that occur, however often, in collapsed text."""
     out = {}
+    low = F.lower(text_c)
     for t in config.types:
         if t.name == UNKNOWN:
             continue
         score = F.lit(0)
         for k in t.keywords:
-            score = score + F.when(text_c.rlike("(?i)" + phrase(k)), t.weight).otherwise(0)
+            score = score + F.when(has_phrase(text_c, low, k), t.weight).otherwise(0)
         out[t.name] = score
     return out
 
@@ -30,4 +31,4 @@ def document_type(scores: dict[str, Column]) -> Column:
         return F.lit(UNKNOWN)
     ranked = [F.struct(s.cast("int").alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scores.items())]
     best = F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
-    return F.when(best["score"] > 0, best["name"]).otherwise(UNKNOWN)
+    return let(best, lambda b: F.when(b["score"] > 0, b["name"]).otherwise(UNKNOWN))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsift.config import FieldSpec
 from docsift.functions import regexes as R
-from docsift.functions.text import empty_to_null, utf16_length
+from docsift.functions.text import empty_to_null, let, utf16_length
 
 Extractor = Callable[[FieldSpec, Column, Column], Column]
 
@@ -18,14 +18,14 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
-    return F.transform(F.array(value), body)[0]
+def _holds(low: Column, label: str) -> Column:
+    return low.contains(" ".join(label.lower().split()))
 
 
 def labeled_id(field: FieldSpec, text_c: Column, lines: Column) -> Column:
     """The id after the first label, in the order of the configuration, that is followed by one; in upper case."""
-    hits = [empty_to_null(F.upper(F.regexp_extract(text_c, R.labeled_id(label), 1))) for label in field.labels]
+    low = F.lower(text_c)
+    hits = [F.when(_holds(low, label), empty_to_null(F.upper(F.regexp_extract(text_c, R.labeled_id(label), 1)))) for label in field.labels]
     return F.coalesce(*hits) if hits else _null()
 
 
@@ -35,7 +35,8 @@ def amount_labeled(labels: tuple[str, ...], lines: Column) -> Column:
         return _null()
 
     def hit(line: Column) -> Column:
-        return F.coalesce(*(empty_to_null(F.regexp_extract(line, R.labeled_amount(label), 1)) for label in reversed(labels)))
+        low = F.lower(line)
+        return F.coalesce(*(F.when(_holds(low, label), empty_to_null(F.regexp_extract(line, R.labeled_amount(label), 1))) for label in reversed(labels)))
 
     return F.try_element_at(F.filter(F.transform(lines, hit), lambda x: x.isNotNull()), F.lit(-1))
 
@@ -60,7 +61,8 @@ def date_labeled(labels: tuple[str, ...], lines: Column) -> Column:
     if not labels:
         return _null()
     label = "(?i)(?:" + "|".join(R.phrase(x) for x in labels) + ")"
-    return F.try_element_at(F.filter(F.transform(lines, lambda line: F.when(line.rlike(label), _any_date(line))), lambda x: x.isNotNull()), F.lit(1))
+    digit = lambda line: line.rlike("[0-9]")
+    return F.try_element_at(F.filter(F.transform(lines, lambda line: F.when(digit(line) & line.rlike(label), _any_date(line))), lambda x: x.isNotNull()), F.lit(1))
 
 
 def date_fallback(lines: Column) -> Column:

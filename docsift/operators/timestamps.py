@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.session import cut
+from docsift.session import cut, spread
 
 # Abbreviations of zones and their minutes east of UTC; where one is used twice, the meanings.
 ZONES = {
@@ -225,7 +225,7 @@ def resolve_timestamps(analyzed: DataFrame, sites: DataFrame, certain: float = 0
     declares its order of day and month decides where both are possible; other sources, among them the rows without a
     site, by their mixture. Rows delivered again count once; a site listed twice counts by its smallest row.
     """
-    rows = analyzed.select("doc_ix", F.struct(F.col("doc_fields.doc_date").alias("text"), "site_id").alias("r")).groupBy("doc_ix").agg(F.min("r").alias("r")).select("doc_ix", "r.*")
+    rows = spread(analyzed.select("doc_ix", F.struct(F.col("doc_fields.doc_date").alias("text"), "site_id").alias("r")), "doc_ix").groupBy("doc_ix").agg(F.min("r").alias("r")).select("doc_ix", "r.*")
     rows = rows.filter("doc_ix is not null")
     at = sites.groupBy("site_id").agg(F.min(F.struct("zone_name", "day_first")).alias("s")).select("site_id", "s.*")
     joined = rows.join(at, "site_id", "left").select("doc_ix", "text", "zone_name", "day_first", F.col("site_id").alias("source"))

@@ -18,7 +18,7 @@ from docsift.operators.batches import Segregated
 from docsift.operators.classify import keyword_scores
 from docsift.operators.timestamps import instants, resolve_timestamps
 from docsift.plans import sql
-from docsift.session import table
+from docsift.session import spread, table
 from docsift.sources.ingest import concat_pages, guard_upload, route_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ FIELDS = {f.name: f for f in CONFIG.fields}
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _on_texts(make: Callable[[DataFrame], DataFrame], spark: SparkSession, d: str) -> DataFrame:

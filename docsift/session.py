@@ -12,6 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions for a stage of heavy work per row."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in enough partitions for heavy work per row.
+
+    With ``keys`` it is hash-partitioned on them, which a following distinct or group-by reuses; a number given here is
+    not coalesced afterwards. Without, it is only moved if its scan has fewer partitions than there are cores, so never
+    for a large input.
+    """
+    n = width(df.sparkSession)
+    if keys:
+        return df.repartition(n, *keys)
+    return df.repartition(n) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share.
 
