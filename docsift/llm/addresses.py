@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docsift.llm.common import pairs_within
 from docsift.llm.groups import connected_groups
-from docsift.session import cut
+from docsift.session import cut, spread
 
 # Kinds of streets and their abbreviations; words before a unit; words before a landmark.
 STREETS = {
@@ -171,7 +171,7 @@ ORDERS = {
 }
 #: Records that a record is compared with in each pass, and records of a task's block.
 WINDOW = 12
-BLOCK = 20_000
+BLOCK = 5_000
 
 
 def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -210,8 +210,8 @@ def neighbourhood_pass(records: DataFrame, keys: list[str], window: int = WINDOW
     placed = _numbered(records, keys)
     at = F.floor(F.col("pos") / F.lit(block))
     reach = F.when((F.col("pos") % F.lit(block) < window) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
-    spread = placed.select("rec", "pos", *PARTS, F.explode(reach).alias("block")).withColumn("own", F.col("block") == F.floor(F.col("pos") / F.lit(block)))
-    return spread.groupBy("block").applyInPandas(_compare(window), "a bigint, b bigint")
+    copied = placed.select("rec", "pos", *PARTS, F.explode(reach).alias("block")).withColumn("own", F.col("block") == F.floor(F.col("pos") / F.lit(block)))
+    return spread(copied, "block").groupBy("block").applyInPandas(_compare(window), "a bigint, b bigint")
 
 
 def read_addresses(rows: DataFrame, text: str, towns: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def place_classes(addresses: DataFrame, towns: DataFrame, window: int = WINDOW)
     Null, empty and unreadable texts (no street or no house number) are left out. ``place`` is the smallest record id
     linked to the text's components directly or through others; equal components share it without any comparison.
     """
-    texts = addresses.filter(F.length(F.trim("text")) > 0).select("text").distinct()
+    texts = spread(addresses.filter(F.length(F.trim("text")) > 0).select("text"), "text").distinct()
     read = cut(read_addresses(texts, "text", towns))
     records = read.select(*PARTS).distinct().withColumn("rec", F.xxhash64(*PARTS)).withColumn("street_back", F.reverse("street"))
     records = cut(records)

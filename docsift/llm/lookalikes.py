@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.common import pairs_within
+from docsift.session import spread
 
 # Letters of other scripts and their Latin doubles.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухһԁԛԝӏү", "ABESIJKMHOPCTYXYQWaesijopcyxhdqwly", strict=True))
@@ -95,7 +96,7 @@ def consistent_form(df: DataFrame, ident: str, text: str) -> DataFrame:
         finally:
             con.close()
 
-    rows = df.select(F.col(ident).alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"i {kind}, t string, form string")
+    rows = spread(df.select(F.col(ident).alias("i"), F.col(text).cast("string").alias("t"))).mapInArrow(run, f"i {kind}, t string, form string")
     return rows.select(F.col("i").alias(ident), F.col("t").alias(text), "form")
 
 

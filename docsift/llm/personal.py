@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docsift.llm.addresses import _KIND as STREET_WORDS
 from docsift.llm.addresses import LANDMARKS, UNITS, Reader
 from docsift.llm.name_parts import _given, read_name
-from docsift.session import cut
+from docsift.session import spread
 
 THRESHOLD = 2.0
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
@@ -289,7 +289,7 @@ def find_personal(doc_text: DataFrame, source: str = "text") -> DataFrame:
             rows = [(ix, s.kind, t[s.start : s.end]) for ix, t in zip(frame["doc_ix"], frame["text"], strict=True) for s in spans(t, reader)]
             yield pd.DataFrame(rows, columns=["doc_ix", "pii_type", "pii_text"])
 
-    texts = doc_text.filter((F.col("source") == source) & (F.length("text") > 0)).select("doc_ix", "text").dropna().distinct()
+    texts = spread(doc_text.filter((F.col("source") == source) & (F.length("text") > 0)).select("doc_ix", "text").dropna(), "doc_ix").distinct()
     return texts.mapInPandas(run, "doc_ix bigint, pii_type string, pii_text string").distinct()
 
 
@@ -301,4 +301,4 @@ def redacted_texts(doc_text: DataFrame, source: str = "text") -> DataFrame:
         for frame in frames:
             yield frame.assign(text=[redact(t, spans(t, reader)) if isinstance(t, str) else None for t in frame["text"]])
 
-    return cut(doc_text.filter(F.col("source") == source).select("doc_ix", "text").distinct()).mapInPandas(run, "doc_ix bigint, text string")
+    return spread(doc_text.filter(F.col("source") == source).select("doc_ix", "text"), "doc_ix").distinct().mapInPandas(run, "doc_ix bigint, text string")

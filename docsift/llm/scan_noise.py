@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.session import cut
+from docsift.session import cut, spread
 
 # What is printed, and what scanners read instead.
 CONFUSIONS = [
@@ -339,11 +339,11 @@ def find_noise(doc_text: DataFrame, source: str = "ocr") -> Found:
     texts = cut(doc_text.select("doc_ix", "source", "text").dropna().distinct())
     counts = cut(word_counts(texts, source))
     weights = train_editor(counts)
-    pages = texts.filter((F.col("source") == source) & (F.length(F.trim("text")) > 0)).select("doc_ix", "text")
+    pages = spread(texts.filter((F.col("source") == source) & (F.length(F.trim("text")) > 0)).select("doc_ix", "text"), "doc_ix")
     units = cut(pages.mapInPandas(_units, _UNITS))
 
     words = units.filter("what = 'word'")
-    proposed = words.select("word").distinct().mapInPandas(_propose, "word string, at int, seen string, meant string, edited string")
+    proposed = spread(words.select("word"), "word").distinct().mapInPandas(_propose, "word string, at int, seen string, meant string, edited string")
     after = counts.select(F.col("word").alias("edited"), F.col("n").alias("after"))
     options = proposed.join(after, "edited").join(counts.withColumnRenamed("n", "before"), "word", "left")
     # a misread word is rarer than what was printed, and hardly occurs where nothing was scanned

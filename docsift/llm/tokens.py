@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.session import spread
+
 VOCABULARY_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The published pre-tokenizer pattern of this vocabulary (fixed value).
@@ -159,7 +161,7 @@ def encode_column(df: DataFrame, ident: str, text: str, path: str | None = None,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, step), pa.array(ids, pa.list_(pa.int32()))], ["i", "ids"])
 
     kind = df.schema[ident].dataType.simpleString()
-    return df.select(F.col(ident).alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"i {kind}, ids array<int>").withColumnRenamed("i", ident)
+    return spread(df.select(F.col(ident).alias("i"), F.col(text).cast("string").alias("t"))).mapInArrow(run, f"i {kind}, ids array<int>").withColumnRenamed("i", ident)
 
 
 def count_tokens(df: DataFrame, text: str, name: str, path: str | None = None, leaf: int = LEAF) -> DataFrame:
@@ -174,4 +176,4 @@ def count_tokens(df: DataFrame, text: str, name: str, path: str | None = None, l
             sizes = [len(bpe.encode(t if isinstance(t, str) else None, leaf)) for t in frame[text]]
             yield frame.drop(columns=[text]).assign(**{name: sizes})
 
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)
