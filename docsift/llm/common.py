@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.session import cut
+
 #: Rows of one group that a task of pairs_within() holds on its left side; larger groups are spread over several tasks.
 BLOCK = 4_000
 
@@ -18,6 +20,7 @@ def pairs_within(df: DataFrame, key: str, ident: str, variant: str, left: str, r
     columns are in no pair; repeated rows count once; an empty input gives no row.
     """
     rows = df.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.col(variant).alias("v")).dropna().distinct()
+    rows = cut(rows)  # what they are made from is computed once
     sizes = (
         rows.groupBy("k")
         .agg(F.count("*").alias("n"), (F.min("v") != F.max("v")).alias("mixed"))
