@@ -35,8 +35,9 @@ def _on_texts(make: Callable[[DataFrame], DataFrame], spark: SparkSession, d: st
     return make(split_text(texts(spark, d)))
 
 
-def _column(name: str, column: Column, spark: SparkSession, d: str) -> DataFrame:
-    return split_text(texts(spark, d)).select("doc_id", column.alias(name))
+def _column(name: str, column: Callable[[], Column], spark: SparkSession, d: str) -> DataFrame:
+    """One value per text; ``column`` is made when the query runs, as columns need a session."""
+    return split_text(texts(spark, d)).select("doc_id", column().alias(name))
 
 
 def _scores(df: DataFrame) -> DataFrame:
@@ -92,28 +93,28 @@ def queries() -> dict[str, Query]:
     """Every operator of the core by the name of its query."""
     labels = lambda f: FIELDS[f].labels
     value = lambda f: X.run_extractor(FIELDS[f], F.col("text_c"), F.col("lines"))
-    lines = F.col("lines")
+    lines = lambda: F.col("lines")
     out: dict[str, Query] = {
-        "collapse_ws": partial(_column, "collapsed", F.col("text_c")),
+        "collapse_ws": partial(_column, "collapsed", lambda: F.col("text_c")),
         "split_lines": partial(_on_texts, lambda df: df.select("doc_id", F.posexplode("lines").alias("k", "line")).select("doc_id", (F.col("k") + 1).cast("bigint").alias("line_no"), "line")),
-        "alnum_count": partial(_column, "alnum", T.alnum_count(F.col("text")).cast("bigint")),
+        "alnum_count": partial(_column, "alnum", lambda: T.alnum_count(F.col("text")).cast("bigint")),
         "phrase_match": partial(_on_texts, lambda df: df.select("doc_id", F.col("text_c").rlike("(?i)" + R.phrase("Invoice No")).alias("invoice_no"), F.col("text_c").rlike("(?i)" + R.phrase("P.O.")).alias("p_o"), F.col("text_c").rlike("(?i)" + R.phrase("Inv #")).alias("inv"))),
         "ocr_route": lambda s, d: route_text(texts(s, d).select("doc_id", F.col("text").alias("embedded_text"), F.reverse("text").alias("ocr_text"))).select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n")),
         "page_concat": lambda s, d: concat_pages(table(s, d, "doc_text").select("file_name", "doc_ix", "text").distinct(), "file_name", "doc_ix", "text"),
         "keyword_scores": partial(_on_texts, _scores),
         "classify": lambda s, d: classify(texts(s, d)).select("doc_id", F.col("documentType").alias("document_type")),
         "analyze": _analyze,
-        "extract_document_number": partial(_column, "value", value("documentNumber")),
-        "extract_reference_number": partial(_column, "value", value("referenceNumber")),
-        "extract_amount_labeled": partial(_column, "value", X.amount_labeled(labels("amount"), lines)),
-        "extract_amount_fallback": partial(_column, "value", X.amount_fallback(lines)),
-        "extract_amount": partial(_column, "value", value("amount")),
-        "extract_date_labeled": partial(_column, "value", X.date_labeled(labels("date"), lines)),
-        "extract_date_fallback": partial(_column, "value", X.date_fallback(lines)),
-        "extract_date": partial(_column, "value", value("date")),
-        "extract_company": partial(_column, "value", value("companyName")),
+        "extract_document_number": partial(_column, "value", lambda: value("documentNumber")),
+        "extract_reference_number": partial(_column, "value", lambda: value("referenceNumber")),
+        "extract_amount_labeled": partial(_column, "value", lambda: X.amount_labeled(labels("amount"), lines())),
+        "extract_amount_fallback": partial(_column, "value", lambda: X.amount_fallback(lines())),
+        "extract_amount": partial(_column, "value", lambda: value("amount")),
+        "extract_date_labeled": partial(_column, "value", lambda: X.date_labeled(labels("date"), lines())),
+        "extract_date_fallback": partial(_column, "value", lambda: X.date_fallback(lines())),
+        "extract_date": partial(_column, "value", lambda: value("date")),
+        "extract_company": partial(_column, "value", lambda: value("companyName")),
         "address_line_score": partial(_on_texts, lambda df: df.select("doc_id", F.posexplode(F.transform(F.slice("lines", 1, 25), X.address_line_score)).alias("k", "score")).select("doc_id", (F.col("k") + 1).cast("bigint").alias("line_no"), "score")),
-        "extract_address": partial(_column, "value", value("address")),
+        "extract_address": partial(_column, "value", lambda: value("address")),
         "linkage_edges": lambda s, d: _segregated(s, d).edges(),
         "batch_components": lambda s, d: _segregated(s, d).labels,
         "batches": _batches,

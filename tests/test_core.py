@@ -186,3 +186,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == ["Invoice"]
+
+
+def test_names_need_no_session():
+    """The names of the queries and the SQL are known before any session exists."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 0)"], cwd=root, capture_output=True, text=True)
+    assert said.stdout.strip() == "True", said.stderr
