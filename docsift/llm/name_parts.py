@@ -71,9 +71,10 @@ def distance(a: str, b: str) -> int:
 class Name(NamedTuple):
     kind: str  # 'firm' or 'person'
     sector: str  # the trade's words in order of the alphabet, or the initials of the possible given names, joined by '/'
-    core: str  # what the edit metric compares: the coined word or the surname
+    core: str  # what the edit metric compares: the coined word or the surname, folded
     given: str  # possible given names joined by '/', or an initial
     middle: str  # a middle name or initial
+    typed: str = ""  # the core as it was typed, not folded
 
 
 @lru_cache(maxsize=200_000)
@@ -146,7 +147,8 @@ def read_name(text: str | None) -> Name | None:
     if trades or bare != low.strip(" ,.-&"):
         if not rest:
             rest, trades = words, []
-        return Name("firm", " ".join(sorted(set(trades))), fold("".join(rest)), "", "")
+        typed = "".join(rest)
+        return Name("firm", " ".join(sorted(set(trades))), fold(typed), "", "", typed)
     p = ROLES.sub(" ", TITLES.sub(" ", f" {low} ")).strip(" ,.-")
     comma = p.split(",", 1)
     if len(comma) == 2 and comma[1].strip():
@@ -154,17 +156,18 @@ def read_name(text: str | None) -> Name | None:
     else:
         parts = re.findall(r"[^\W\d_]+(?:[-'][^\W\d_]+)*", p)
         if len(parts) == 1:
-            return Name("person", "", fold(parts[0]), "", "")
+            return Name("person", "", fold(parts[0]), "", "", parts[0])
         first_upper = re.match(r"^(?:\S+\s)??([^\W\d_]{2,}) [A-Z]?[a-z]", t) and re.findall(r"[^\W\d_]+", ROLES.sub("", TITLES.sub(" ", f" {t} ", 0)) or t)[:1]
         upper = [w for w in re.findall(r"[^\W\d_]{2,}", t) if w.isupper()]
         surname_first = _given(parts[0]) is None and len(parts[0]) > 1 and (_given(parts[1]) is not None or bool(upper and first_upper and upper[0] == first_upper[0] and len(upper) == 1))
         surname, givens = ([parts[0]], parts[1:]) if surname_first else ([parts[-1]], parts[:-1])
-    core = fold(re.sub(r"[\W\d_]", "", "".join(surname)))
+    typed = re.sub(r"[\W\d_]", "", "".join(surname))
+    core = fold(typed)
     if not givens:
-        return Name("person", "", core, "", "")
+        return Name("person", "", core, "", "", typed)
     first, middle = givens[0], (givens[1] if len(givens) > 1 else "")
     if len(first) == 1:
-        return Name("person", first, core, first, middle)
+        return Name("person", first, core, first, middle, typed)
     options = _given(first)
     given = "/".join(sorted(options)) if options else first
-    return Name("person", "/".join(sorted({g[0] for g in given.split("/")})), core, given, middle)
+    return Name("person", "/".join(sorted({g[0] for g in given.split("/")})), core, given, middle, typed)

@@ -140,6 +140,14 @@ def test_names(spark):
     assert names.same_name_pairs(df.limit(0)).count() == 0
 
 
+def test_names_one_typing_error_apart_as_typed(spark):
+    a = ["Thorgotor Chemical Industries Co", "thorgtoor chem. inds co.", "LAMSERATH ENGINEERING WORKS CO", "Lamseeath Engineering Works", "Frances Ormgoimbe", "Frances Sven Ormgoombe",
+         "Ketteroon Steel Fabricators", "Keteroun Steel Fabricators"]
+    df = spark.createDataFrame([(i, (x,)) for i, x in enumerate(a)], "doc_ix bigint, doc_fields struct<company_name: string>")
+    got = {tuple(r) for r in names.same_name_pairs(df).collect()}
+    assert got == {(0, 1), (2, 3), (4, 5)}
+
+
 def test_personal(spark):
     t = ("Anthony Dane Verbooff - sole trader\n12 Yeltiford Street, Harwick 11045\nTAX INVOICE\nTransaction ID: B0000180\nDear Rebecca, Mobile +44 20 7946 0294 (evenings). Part no. 884-392-4270 replaces it.\n"
          "Resident of Flat 3, 9 Norfirth Rd., Harwick 11046. Social security 666-87-7546 appears on the form. Copies went to ann_b3 (at) mail.example and to us.\n"
