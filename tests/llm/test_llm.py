@@ -148,6 +148,14 @@ def test_names_one_typing_error_apart_as_typed(spark):
     assert got == {(0, 1), (2, 3), (4, 5)}
 
 
+def test_short_forms_of_names_with_different_initials(spark):
+    a = ["Kate Kurkelli", "Kurkelli, Kate", "KATE KURKELI", "Ned Kurkelli", "Ted Norquist", "Mr. Teddy Norquist", "Eddie Halbrook", "Ted Halbrook", "Theodore Marsten", "Marsten, Ted", "Nell Varsen"]
+    df = spark.createDataFrame([(i, (x,)) for i, x in enumerate(a)], "doc_ix bigint, doc_fields struct<company_name: string>")
+    assert {r["text"] for r in names.entities(df.select("doc_fields.company_name").toDF("text")).collect()} == set(a)
+    got = {tuple(r) for r in names.same_name_pairs(df).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2), (4, 5), (6, 7), (8, 9)}
+
+
 def test_personal(spark):
     t = ("Anthony Dane Verbooff - sole trader\n12 Yeltiford Street, Harwick 11045\nTAX INVOICE\nTransaction ID: B0000180\nDear Rebecca, Mobile +44 20 7946 0294 (evenings). Part no. 884-392-4270 replaces it.\n"
          "Resident of Flat 3, 9 Norfirth Rd., Harwick 11046. Social security 666-87-7546 appears on the form. Copies went to ann_b3 (at) mail.example and to us.\n"
