@@ -35,6 +35,7 @@ EPOCHS = 6
 _DIGIT = r"[\dOoIlBSZ]"
 _PAGE = re.compile(rf"(?:(?:page|pg\.?|p\.?|seite|s\.)\s*({_DIGIT}{{1,4}})(?:\s*(?:of|/|von)\s*{_DIGIT}{{1,4}})?|\[({_DIGIT}{{1,4}})/{_DIGIT}{{1,4}}\]|[-–—]\s?({_DIGIT}{{1,4}})\s?[-–—]|({_DIGIT}{{1,4}}) \| {_DIGIT}{{1,4}}|({_DIGIT}{{1,4}}))", re.I)
 _HEADER = re.compile(r"(?:[\dOIl/]{1,7}\s+)?([^\W\d_][^:]{2,70}?)(?:\s+[|/–—-]\s+| {2,})([^\W\d_][\w@]*(?: [\w@]+){1,3}?)(?:[\s|/–—-]+(?:page |p\. ?|pg |seite )?[\dOIl/]{1,7})?", re.I)
+_NUMBERED = re.compile(r"(?:([\dOIl/]{1,7})\s+)?(\S.*?)(?:[\s|/–—-]+(?:page |p\. ?|pg |seite )?([\dOIl/]{1,7}))?", re.I)
 _ROLE = re.compile(r"sole trader|proprietor|prop\.?$|owner", re.I)
 _TABLE = re.compile(r"\S.* [\dOoIlBSZb]+ x [\dOoIlBSZb][\dOoIlBSZb,.]*")
 _KIND = re.compile(r"[A-Z0-9@ ]*(?:INVOICE|ORDER|RECEIPT|STATEMENT|MEMO|[A-Z]{4,})[A-Z0-9@ ]*")
@@ -54,26 +55,34 @@ def _near(a: str, b: str) -> bool:
     return a == b or abs(len(a) - len(b)) <= 2 and len(a) > 8 and _digits(a.replace("rn", "m").replace("c", "e"))[:60] == _digits(b.replace("rn", "m").replace("c", "e"))[:60] or len(a) == len(b) > 8 and sum(x != y for x, y in zip(a, b, strict=True)) <= 2
 
 
+def _unnumbered(line: str) -> str:
+    """``line`` without the page number before or after it."""
+    m = _NUMBERED.fullmatch(line)
+    number = m and (m[1] or m[3])
+    return m[2] if number and re.search(r"\d|^[lIO]$", number) else line
+
+
 def furniture(lines: list[str]) -> dict[int, str]:
     """Which lines (from 0) are 'header' (running headers and footers) or 'page_number', by form and position."""
     out: dict[int, str] = {}
     text = [line.strip() for line in lines]
     n = len(text)
-    headers: list[str] = []
+    names: list[str] = []
     for i, t in enumerate(text):
         if (m := _HEADER.fullmatch(t)) and not _ROLE.search(m[2]) and not _TABLE.fullmatch(t) and len(t) <= 90 and (len(m[1].split()) > 1 or i == 0):
             out[i] = "header"
-            headers.append(m[1].strip())
-    names = [h for h in headers if not re.search(r" fi[l1]e$", h, re.I)]
+            names.append(m[1].strip())
     first = next((i for i, t in enumerate(text) if t), None)
     if first is not None and first not in out:
         names.append(text[first])
     if first is not None and first + 1 < n and first in out:
         names.append(text[first + 1])
-    # even pages may show the name alone
+    # even pages may show the name alone, or with the page number
     for i, t in enumerate(text):
-        if i not in out and t and first is not None and i > first + 1 and (not text[i - 1] or i + 1 == n or not text[i + 1] or _PAGE.fullmatch(text[i - 1])) and any(_near(t, x) for x in names):
-            out[i] = "header"
+        if i not in out and t and first is not None and i > first + 1 and (not text[i - 1] or i + 1 == n or not text[i + 1] or _PAGE.fullmatch(text[i - 1]) or _PAGE.fullmatch(text[i + 1])):
+            bare = _unnumbered(t)
+            if any(_near(t, x) or _near(bare, x) for x in names):
+                out[i] = "header"
     if first is not None and first + 1 < n and first not in out and _near(text[first], text[first + 1]):
         out[first] = "header"
     numbers = [(i, m) for i, t in enumerate(text) if i not in out and t and (m := _PAGE.fullmatch(t)) and re.search(r"\d|^[lIO]+$|[\[|-]|page|pg|seite", t, re.I)]

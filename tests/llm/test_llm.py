@@ -189,6 +189,14 @@ def test_scan_noise(spark):
     assert scan_noise.scan_defects(df.limit(0)).count() == 0
 
 
+def test_headers_of_even_pages():
+    prose = ["the carrier returned 2", "Acme Works settled 948 cartons", ""]
+    page = ["Acme Works Ltd - Terms of supply 1", "Acme Works Ltd", "TAX INVOICE", "", *prose, "2 Acme Works Ltd", *prose, "Acme Works Ltd - Terms of supply 3", *prose, "Acrne Works Ltd 4", *prose]
+    assert scan_noise.furniture(page) == {0: "header", 7: "header", 11: "header", 15: "header"}
+    page = ["Kelgate file | Ledger notes", "Acme Works Ltd", "TAX INVOICE", "", *prose, "54 Kelgate file", *prose, "Kelgate file", *prose[:2], "Kelgate file", "Pg 56"]
+    assert scan_noise.furniture(page) == {0: "header", 7: "header", 11: "header", 14: "header", 15: "page_number"}
+
+
 def test_editor_on_held_out_words():
     words = {w: 400 for w in "warranty rubber gaskets begins installation months supplier carrier available cartons pallets notice delivery certified terms company period branch quantity invoice".split()}
     cases = []
