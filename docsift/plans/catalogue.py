@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ from docsift.operators.classify import keyword_scores
 from docsift.operators.timestamps import instants, resolve_timestamps
 from docsift.plans import sql
 from docsift.session import spread, table
-from docsift.sources.ingest import concat_pages, guard_upload, route_text
+from docsift.sources.ingest import concat_pages, guard_upload, ingest, route_text
+from docsift.sources.pdf import text_pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = default()
@@ -84,6 +86,29 @@ def _guard(spark: SparkSession, d: str) -> DataFrame:
     return guard_upload(files).select("doc_id", "accepted", "problem")
 
 
+def buffers(spark: SparkSession, d: str) -> DataFrame:
+    """``(doc_ix, file_name, content)``: the texts of ``doc_text`` as PDF files, and a broken file for each row of
+    ``doc_errors``: encrypted, no PDF, or cut off before its text ends."""
+    good = table(spark, d, "doc_text").select("doc_ix", "file_name", "text", F.lit("").alias("broken")).dropna(subset=["text"]).distinct()
+    broken = F.when(F.col("reason") == "Password required", "encrypted").when(F.col("reason") == "Invalid PDF structure", "no PDF").otherwise("cut off")
+    bad = table(spark, d, "doc_errors").select(F.xxhash64("file_name", "reason", "noted_at").alias("doc_ix"), "file_name", F.lit("a text that nobody reads").alias("text"), broken.alias("broken"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for text, how in zip(frame["text"], frame["broken"], strict=True):
+                pdf = text_pdf(text, how == "encrypted")
+                made.append(text.encode() if how == "no PDF" else pdf[: pdf.index(b"endstream")] if how == "cut off" else pdf)
+            yield frame[["doc_ix", "file_name"]].assign(content=made)
+
+    return spread(good.unionByName(bad)).mapInPandas(run, "doc_ix bigint, file_name string, content binary")
+
+
+def _ingest_split(spark: SparkSession, d: str) -> DataFrame:
+    docs, errors = ingest(buffers(spark, d))
+    return docs.unionByName(errors, allowMissingColumns=True)
+
+
 def _dedup(spark: SparkSession, d: str) -> DataFrame:
     files = documents_to_batch(spark, d).select("doc_ix", "file_name", F.length("file_name").alias("size"))
     return files.groupBy("file_name", "size").agg(F.min("doc_ix").alias("doc_ix"))
@@ -133,6 +158,7 @@ def queries() -> dict[str, Query]:
         "type_hue": lambda s, d: documents_to_batch(s, d).select("document_type").distinct().select("document_type", T.type_hue(F.col("document_type")).alias("hue")),
         "fields_summary": lambda s, d: _summary(documents_to_batch(s, d)),
         "error_isolation": lambda s, d: table(s, d, "doc_errors").groupBy("reason").agg(F.count("*").alias("n")),
+        "ingest_split": _ingest_split,
         "p2_found": lambda s, d: instants(table(s, d, "analyzed"), table(s, d, "intake_sites")),
         "p2_resolved": lambda s, d: resolve_timestamps(table(s, d, "analyzed"), table(s, d, "intake_sites")),
     }

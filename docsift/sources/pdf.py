@@ -75,3 +75,11 @@ def embedded_text(content: bytes) -> str:
         if re.search(rb"\bBT\b", data):
             parts.append(_stream_text(data).strip("\n"))
     return "\n\n".join(parts)
+
+
+def text_pdf(text: str, encrypted: bool = False) -> bytes:
+    """A PDF file whose text layer is ``text``, without line feeds at its ends as embedded_text() reads it."""
+    shown = "\nT*\n".join(f"<{(chr(0xFEFF) + line).encode('utf-16-be', 'replace').hex()}> Tj" for line in text.split("\n"))
+    stream = zlib.compress(f"BT\n{shown}\nET".encode())
+    secret = b"trailer << /Encrypt 2 0 R >>\n" if encrypted else b""
+    return b"%%PDF-1.4\n%s1 0 obj\n<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream\nendobj\n" % (secret, len(stream), stream)

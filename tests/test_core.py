@@ -122,6 +122,19 @@ def test_route_upload_and_ingest(spark, tmp_path):
     assert [r["file_name"] for r in errors.collect()] == ["y.pdf"]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_ingest_of_whole_tables(spark):
+    texts = {(r["doc_ix"], r["file_name"], r["text"]) for r in spark.read.parquet(f"{DATA}/doc_text.parquet").collect() if r["text"] is not None}
+    failed = [r["file_name"] for r in spark.read.parquet(f"{DATA}/doc_errors.parquet").collect()]
+    rows = __spark_entry__.queries()["ingest_split"](spark, DATA).collect()
+    long = {(i, n, t.strip("\n")) for i, n, t in texts if sum(c.isascii() and c.isalnum() for c in t) >= 25}
+    docs = [(r["doc_ix"], r["file_name"], r["text"]) for r in rows if r["reason"] is None]
+    errors = [r["file_name"] for r in rows if r["reason"] is not None]
+    assert set(docs) == long and len(docs) == len(long) > 0
+    assert sorted(errors) == sorted(failed + [n for i, n, t in texts if (i, n, t.strip("\n")) not in long])
+    assert {r["reason"] for r in rows} >= {None, "no engine for recognition is registered"} and all(r["source"] == "text" for r in rows if r["reason"] is None)
+
+
 def test_image_kernels():
     assert images.otsu(np.full((3, 3), 7, "uint8")) == 0
     assert images.otsu(np.array([[10, 10], [200, 200]], "uint8")) == 10
