@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from docsift.config import Config, default
 from docsift.operators.analyze import analyze
 from docsift.operators.batches import Segregated
-from docsift.sources.ingest import ingest, read_directory
+from docsift.sources.ingest import ImageEngine, OcrEngine, PageRasterizer, check_upload, ingest, read_buffers, read_directory
 
 
 def flat_documents(docs: DataFrame, config: Config) -> DataFrame:
@@ -55,3 +56,20 @@ def run_directory(spark: SparkSession, folder: str, out: str, config: Config | N
     with open(out, "w", encoding="utf-8") as f:
         f.write(text)
     return text
+
+
+def classify_buffers(
+    spark: SparkSession, files: Sequence[tuple[str, bytes, str]], config: Config | None = None, engine: Callable[[], OcrEngine | ImageEngine] | None = None, rasterizer: Callable[[], PageRasterizer] | None = None
+) -> dict:
+    """The report of an upload ``(name, content, media type)``; raises ValueError if it breaks a limit."""
+    check_upload(files)
+    docs, errors = ingest(read_buffers(spark, [(n, c) for n, c, _ in files]), engine, rasterizer=rasterizer)
+    return json.loads(report_json(spark, docs, errors, config))
+
+
+def config_frame(spark: SparkSession, config: Config | None = None) -> DataFrame:
+    """One row: the branding, and the names of the document types and fields."""
+    config = config or default()
+    branding = config.branding
+    schema = ", ".join([*(f"{k} string" for k in branding), "documentTypes array<string>", "fields array<string>"])
+    return spark.createDataFrame([(*branding.values(), config.type_names, config.field_names)], schema)

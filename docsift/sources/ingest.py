@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions.text import alnum_count
+from docsift.operators.images import preprocess
 from docsift.sources.pdf import embedded_text
 
 #: Fewer letters and digits than this in the embedded text mean recognition; limits of an upload.
 ENOUGH_TEXT = 25
 MAX_FILES = 200
 MAX_BYTES = 25 * 1024 * 1024
+#: Fixed value: how much larger than printed a page is drawn for recognition.
+SCALE = 2
 
 
 class OcrEngine(Protocol):
@@ -24,6 +28,18 @@ class OcrEngine(Protocol):
     def pages(self, content: bytes) -> Sequence[str]: ...
 
 
+class PageRasterizer(Protocol):
+    """Draws a PDF's pages as (h, w, 3) arrays of red, green, blue; made once per Python worker."""
+
+    def images(self, content: bytes, scale: int) -> Sequence[np.ndarray]: ...
+
+
+class ImageEngine(Protocol):
+    """Recognises one page, black on white, that was drawn by a PageRasterizer; made once per Python worker."""
+
+    def page(self, image: np.ndarray) -> str: ...
+
+
 def read_directory(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_ix, file_name, content)`` of the files ``*.pdf`` (any case) in ``folder`` itself, numbered by name."""
     files = spark.read.format("binaryFile").load(folder).withColumn("file_name", F.regexp_extract("path", r"([^/]+)\z", 1))
@@ -73,16 +89,20 @@ def concat_pages(pages: DataFrame, doc: str, position: str, text: str) -> DataFr
     return pages.groupBy(doc).agg(ordered.alias("p")).select(doc, F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def ingest(files: DataFrame, engine: Callable[[], OcrEngine] | None = None, read: Callable[[bytes], str] = embedded_text) -> tuple[DataFrame, DataFrame]:
+def ingest(
+    files: DataFrame, engine: Callable[[], OcrEngine | ImageEngine] | None = None, read: Callable[[bytes], str] = embedded_text, rasterizer: Callable[[], PageRasterizer] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(docs, errors)`` of ``files (doc_ix, file_name, content)``.
 
     ``docs`` has ``doc_ix, file_name, source, text``, ``errors`` has ``doc_ix, file_name, reason``. A file that fails, also
     for lack of an engine, becomes an error and stops no other. An engine is made once per Python worker, and only for
-    files whose embedded text is too short.
+    files whose embedded text is too short. With a rasterizer each page is drawn, preprocessed and given to the
+    ImageEngine; without one the OcrEngine gets the file.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made: OcrEngine | None = None
+        made: OcrEngine | ImageEngine | None = None
+        drawer: PageRasterizer | None = None
         try:
             for frame in frames:
                 rows = []
@@ -93,7 +113,11 @@ def ingest(files: DataFrame, engine: Callable[[], OcrEngine] | None = None, read
                             if engine is None:
                                 raise RuntimeError("no engine for recognition is registered")
                             made = made or engine()
-                            seen = "\n\n".join(made.pages(bytes(content)))
+                            if rasterizer is not None:
+                                drawer = drawer or rasterizer()
+                                seen = "\n\n".join([made.page(preprocess(i)) for i in drawer.images(bytes(content), SCALE)])
+                            else:
+                                seen = "\n\n".join(made.pages(bytes(content)))
                             if any(c.isascii() and c.isalnum() for c in seen):
                                 text, source = seen, "ocr"
                         rows.append((ix, name, source, text, None))
@@ -101,8 +125,9 @@ def ingest(files: DataFrame, engine: Callable[[], OcrEngine] | None = None, read
                         rows.append((ix, name, None, None, str(e) or type(e).__name__))
                 yield pd.DataFrame(rows, columns=["doc_ix", "file_name", "source", "text", "reason"])
         finally:
-            if made is not None and hasattr(made, "close"):
-                made.close()
+            for held in (made, drawer):
+                if held is not None and hasattr(held, "close"):
+                    held.close()
 
     done = files.mapInPandas(run, "doc_ix bigint, file_name string, source string, text string, reason string")
     return done.filter("reason is null").drop("reason"), done.filter("reason is not null").select("doc_ix", "file_name", "reason")

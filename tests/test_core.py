@@ -16,7 +16,7 @@ from docsift.operators.components import components
 from docsift.operators.extract import EXTRACTORS, run_extractor
 from docsift.operators.timestamps import instants, readings, resolve_timestamps
 from docsift.plans import catalogue
-from docsift.plans.report import report_json
+from docsift.plans.report import classify_buffers, config_frame, report_json
 from docsift.sources.ingest import check_upload, ingest, read_buffers, read_directory, route_text
 from docsift.sources.pdf import embedded_text
 
@@ -135,6 +135,34 @@ def test_ingest_of_whole_tables(spark):
     assert {r["reason"] for r in rows} >= {None, "no engine for recognition is registered"} and all(r["source"] == "text" for r in rows if r["reason"] is None)
 
 
+def test_pages_are_drawn_and_preprocessed(spark):
+    class Drawer:
+        def images(self, content, scale):
+            if b"torn" in content:
+                raise OSError("page 2 is torn")
+            gray = np.full((4 * scale, 6 * scale, 3), 90, "uint8")
+            gray[:, 6:] = 200
+            return [gray, gray]
+
+    class Engine:
+        def page(self, image):
+            return f"read {image.shape} {sorted(set(image.ravel().tolist()))}"
+
+    files = [("a.pdf", b"%PDF-1.4 scan"), ("b.pdf", b"%PDF-1.4 torn"), ("c.pdf", b"junk")]
+    docs, errors = ingest(read_buffers(spark, files), Engine, rasterizer=Drawer)
+    assert [(r["file_name"], r["source"], r["text"]) for r in docs.collect()] == [("a.pdf", "ocr", "read (16, 24) [0, 255]\n\nread (16, 24) [0, 255]")]
+    assert sorted((r["file_name"], r["reason"]) for r in errors.collect()) == [("b.pdf", "page 2 is torn"), ("c.pdf", "Invalid PDF structure")]
+    report = classify_buffers(spark, [(n, c, "application/pdf") for n, c in files], engine=Engine, rasterizer=Drawer)
+    assert {k: report["summary"][k] for k in ("totalPdfs", "analyzed", "ocrUsed", "failed")} == {"totalPdfs": 3, "analyzed": 1, "ocrUsed": 1, "failed": 2}
+    with pytest.raises(ValueError):
+        classify_buffers(spark, [])
+
+
+def test_config_frame(spark):
+    row = config_frame(spark).first()
+    assert row["productName"] and "Invoice" in row["documentTypes"] and "documentNumber" in row["fields"]
+
+
 def test_image_kernels():
     assert images.otsu(np.full((3, 3), 7, "uint8")) == 0
     assert images.otsu(np.array([[10, 10], [200, 200]], "uint8")) == 10
