@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.operators.components import components, star_edges
+from docsift.session import cut, hot_keys, join_hot, measured
 
 DOC = ["doc_ix", "file_name", "document_type", "source"]
 
@@ -30,14 +31,16 @@ class Segregated:
 
     def __init__(self, docs: DataFrame, keys: dict[str, str]):
         self.keys = keys
-        self.docs = docs
-        self.links = document_keys(docs, keys)
-        self.labels = components(docs, self.links)
+        self.docs, got = measured(docs.select(*DOC, *(present(F.expr(c)).alias(f) for f, c in keys.items())), n=F.count("*"))
+        self.n = got["n"]
+        self.links = document_keys(self.docs, {f: f"`{f}`" for f in keys})
+        self.labels = cut(components(self.docs, self.links, n=self.n * len(keys)))
         sizes = self.labels.groupBy("component").agg(F.count("*").alias("size"))
-        self.placed = docs.select(*DOC, *(present(F.expr(c)).alias(f) for f, c in keys.items())).join(self.labels, "doc_ix").join(sizes, "component")
+        self.hot = hot_keys(self.labels, ["component"], self.n)
+        self.placed = self.docs.join(join_hot(self.labels, sizes, ["component"], self.hot, "inner"), "doc_ix")
 
     def edges(self) -> DataFrame:
-        return star_edges(self.links)
+        return star_edges(self.links, n=self.n * len(self.keys))
 
     def key_values(self) -> DataFrame:
         """Per batch the first value, in document order, of each key field."""
@@ -49,15 +52,18 @@ class Segregated:
         label = F.coalesce(*(F.col(f) for f in self.keys), F.concat(F.lit("GROUP-"), F.col("component")))
         return self.key_values().withColumn("batch_id", F.concat(F.lit("BATCH-"), label))
 
+    def members(self) -> DataFrame:
+        """One row per document of a batch: ``component, batch_id, doc_ix, file_name, document_type, source``; the order
+        within a batch is that of ``doc_ix``."""
+        own = self.placed.filter("size >= 2").select("component", *DOC)
+        return join_hot(own, self.batches().select("component", "batch_id"), ["component"], self.hot, "inner").select("component", "batch_id", *DOC)
+
     def conflicts(self) -> DataFrame:
         """``(component, field, kept, other, doc_ix)``: documents whose value differs from the one the batch keeps."""
-        kept = self.key_values()
-        out = None
-        for f in self.keys:
-            one = self.placed.filter(F.col("size") >= 2).select("component", "doc_ix", F.col(f).alias("other")).join(kept.select("component", F.col(f).alias("kept")), "component")
-            one = one.filter("other is not null and other <> kept").select("component", F.lit(f).alias("field"), "kept", "other", "doc_ix")
-            out = one if out is None else out.unionByName(one)
-        return out
+        kept = self.key_values().select("component", *(F.col(f).alias(f"kept_{i}") for i, f in enumerate(self.keys)))
+        both = join_hot(self.placed.filter("size >= 2"), kept, ["component"], self.hot, "inner")
+        fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"kept_{i}").alias("kept"), F.col(f).alias("other")) for i, f in enumerate(self.keys)))
+        return both.select("component", "doc_ix", F.inline(fields)).filter("other <> kept").select("component", "field", "kept", "other", "doc_ix")
 
     def report_map(self) -> DataFrame:
         """The batches by label as a report has them: of two with one label the later one."""

@@ -1,10 +1,18 @@
-"""Session-level helpers: reading tables, cutting lineage, skew thresholds."""
+"""Session-level helpers: reading tables, cutting lineage, joins that no frequent key can stall."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more rows than this is joined apart from the others, by broadcast of its one lookup row.
+HOT = 200_000
+#: Such keys at most: in n rows a key is hot from n / HOT_KEYS rows on if that is more than HOT, so there cannot be more.
+HOT_KEYS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +39,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that all executors share.
+    """The folder for tables between steps that all executors share.
 
     ``spark.checkpoint.dir`` of the session decides. Only where it is unset, and the session runs in one local JVM,
     a temporary folder is used; on a cluster a missing setting is an error, as a machine-local folder would be lost
@@ -47,16 +55,61 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="docsift-checkpoint-")
     sc.setCheckpointDir(folder)
-    return folder
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files: short lineage that survives executors.
+    """``df``, written as Parquet to the shared checkpoint folder and read again: short lineage that survives executors.
 
-    The plan restarts too. A checkpoint keeps the size estimate of the plan it stands for, and the estimate of a join is
-    the product of its sides: in a loop of self-joins its digits double each time until the driver only multiplies.
+    The plan restarts at a scan, so later steps read only the columns they use and know the true size. The files are
+    removed by discard(), or when the session's JVM ends.
     """
+    return measured(df)[0]
+
+
+def measured(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """cut() and the values of ``figures``, aggregates taken while the rows are written, without a job of their own."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    kept = df.checkpoint(eager=True)
-    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
+    schema = df.schema
+    path = f"{ensure_checkpoint_dir(spark)}/docsift-{uuid.uuid4().hex}"
+    seen = Observation() if figures else None
+    if seen is not None:
+        df = df.observe(seen, *(c.alias(n) for n, c in figures.items()))
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = place
+    return out, seen.get if seen is not None else {}
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of tables that cut() wrote and that nothing reads any more."""
+    for df in tables:
+        place = getattr(df, "_written_at", None)
+        if place is not None:
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def hot_keys(rows: DataFrame, on: Sequence[str], n: int, hot: int = HOT) -> DataFrame | None:
+    """The keys of ``rows``, which are ``n``, that join_hot() joins apart; None where no key can be or is hot."""
+    if n <= hot:
+        return None
+    least = max(hot, n // HOT_KEYS)
+    found, got = measured(rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(*on), n=F.count("*"))
+    return found if got["n"] else None
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, on: Sequence[str], hot: DataFrame | None, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``lookup``, in which a key occurs once; ``how`` is 'left' or 'inner'.
+
+    Rows with a key in ``hot`` (from hot_keys(), so of bounded size) meet their lookup row by broadcast and are never
+    gathered; of any other key a task gets at most max(HOT, n / HOT_KEYS) rows.
+    """
+    on = list(on)
+    if hot is None:
+        return rows.join(lookup, on, how)
+    few = F.broadcast(hot)
+    apart = rows.join(few, on, "left_semi").join(F.broadcast(lookup.join(few, on, "left_semi")), on, how)
+    rest = rows.join(few, on, "left_anti").join(lookup, on, how)
+    return apart.unionByName(rest.select(*apart.columns))
