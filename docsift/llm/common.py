@@ -5,34 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.session import cut
+from docsift.session import HOT, cut, hot_keys, join_hot, measured
 
-#: Rows of one group that a task of pairs_within() holds on its left side; larger groups are spread over several tasks.
+#: Rows of a block: a group of pairs_within() is compared block by block, so a task holds two blocks of it at a time.
 BLOCK = 4_000
 
 
-def pairs_within(df: DataFrame, key: str, ident: str, variant: str, left: str, right: str, block: int = BLOCK) -> DataFrame:
+def _rows(df: DataFrame, key: str, ident: str, variant: str) -> tuple[DataFrame, int]:
+    """The distinct ``(k, i, v)`` without nulls, written once, and their number."""
+    rows = df.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.col(variant).alias("v")).dropna().distinct()
+    rows, got = measured(rows, n=F.count("*"))
+    return rows, got["n"]
+
+
+def pairs_within(df: DataFrame, key: str, ident: str, variant: str, left: str, right: str, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """Pairs ``(left, right)``, smaller first, of ids with equal ``key`` and different ``variant``.
 
     Groups in which only one variant occurs never reach the join, so a group of exact copies costs one aggregated row,
-    whatever its size. A group of n rows is cut into ceil(n / block) salts: its rows are spread over the salts on one
-    side and repeated per salt on the other, so no task gets an unbounded group. Rows with a null in any of the three
-    columns are in no pair; repeated rows count once; an empty input gives no row.
+    whatever its size. A group of n rows is cut into ceil(n / block) blocks by a hash of the id, and every two blocks
+    (and every block with itself) meet in a cell of their own: a cell holds about two blocks of rows, whatever n is, and
+    the rows moved are one in ``block`` of the pairs that come out. Rows with a null in any of the three columns are in
+    no pair; repeated rows count once; an empty input gives no row.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.col(variant).alias("v")).dropna().distinct()
-    rows = cut(rows)  # what they are made from is computed once
+    rows, n = _rows(df, key, ident, variant)
     sizes = (
         rows.groupBy("k")
         .agg(F.count("*").alias("n"), (F.min("v") != F.max("v")).alias("mixed"))
         .filter("mixed")
-        .select("k", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("salts"))
+        .select("k", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
     )
-    mixed = rows.join(sizes, "k")
-    one = mixed.select("k", F.pmod(F.xxhash64("i"), F.col("salts")).cast("int").alias("s"), F.col("i").alias("i1"), F.col("v").alias("v1"))
-    two = mixed.select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), F.col("i").alias("i2"), F.col("v").alias("v2"))
-    return (
-        one.join(two, ["k", "s"])
-        .filter("i1 < i2 and v1 <> v2")
-        .select(F.col("i1").alias(left), F.col("i2").alias(right))
-        .distinct()
+    mixed = join_hot(rows, sizes, ["k"], hot_keys(rows, ["k"], n, hot), "inner")
+    own = mixed.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    one = own.select("k", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("i").alias("i1"), F.col("v").alias("v1"))
+    two = own.select("k", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("i").alias("i2"), F.col("v").alias("v2"))
+    pairs = (
+        one.join(two, ["k", "x", "y"])
+        .filter("v1 <> v2 and i1 <> i2 and (x < y or i1 < i2)")
+        .select(F.least("i1", "i2").alias(left), F.greatest("i1", "i2").alias(right))
     )
+    # a pair can come twice only by an id with several rows
+    several = not rows.groupBy("i").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return pairs.distinct() if several else pairs
+
+
+def classes_within(df: DataFrame, key: str, ident: str, variant: str, hot: int = HOT) -> DataFrame:
+    """``(ident, class_id, links)``: one row per id and group, without any pair.
+
+    ``class_id`` is the smallest id of the group, ``links`` the number of rows of the group with another variant, which
+    is the number of pairs of pairs_within() the id is in where ids have one row each. Nulls and repeated rows count as
+    there.
+    """
+    rows, n = _rows(df, key, ident, variant)
+    alike = rows.groupBy("k", "v").agg(F.count("*").alias("same"), F.min("i").alias("first"))
+    whole = alike.groupBy("k").agg(F.sum("same").alias("all"), F.min("first").alias("class_id"))
+    variants = cut(join_hot(alike.drop("first"), whole, ["k"], hot_keys(alike, ["k"], n, hot), "inner"))
+    each = join_hot(rows, variants.select("k", "v", "class_id", (F.col("all") - F.col("same")).alias("links")), ["k", "v"], hot_keys(rows, ["k", "v"], n, hot), "inner")
+    return each.select(F.col("i").alias(ident), "class_id", "links")
