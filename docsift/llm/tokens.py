@@ -1,28 +1,26 @@
 """Encoding with a public byte-level BPE vocabulary as a monoid over text halves.
 
-``encode`` cuts a long text into halves until a half is a leaf, encodes the leaves, and joins neighbours. A node keeps
-its token ids and where its pre-tokens start. The pre-token that begins at a position depends only on the text from
-that position on, and reaches at most ``MARGIN`` characters beyond its own end. Hence, when two nodes are joined at m:
-
-* pre-tokens of the left node that end ``MARGIN`` characters before m stay as they are;
-* from the first other one, the window over the seam is encoded anew, and grows (doubling) until one of its certain
-  pre-tokens begins where a pre-token of the right node begins: from there on the right node stays as it is.
-
-Nothing else is touched, so the result equals the encoding of the undivided text, and joining is associative.
+``encode`` cuts a text into halves until a half is a leaf, encodes the leaves, and joins neighbours. A position between a
+letter or digit and a following blank or line feed is *firm*: no alternative of the pre-tokenizer's pattern goes on from
+the one to the other, none looks behind itself, and the one that looks ahead looks at blanks only. So a pre-token ends at
+a firm position whatever stands around, and a text's ids are those of its part before and of its part after it.
+
+When two nodes are joined at m, windows on both sides of m grow (doubling) until each holds a firm position, or the node
+ends. The ids outside the two positions are those of the nodes, the text between them is encoded anew. The result equals
+the encoding of the undivided text, and joining is associative.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from bisect import bisect_left
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,18 +31,17 @@ VOCABULARY_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The published pre-tokenizer pattern of this vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters beyond its end that may decide about a pre-token: one of look-ahead, two for a contraction.
-MARGIN = 3
-#: Characters of a leaf.
-LEAF = 8_192
+#: Characters of a leaf; an ordinary text has several.
+LEAF = 256
+#: Characters of the first window on either side of a seam.
+SEAM = 32
+_FIRM = re.compile(r"[^\W_](?=[ \n])")
 
 
 class Node(NamedTuple):
     lo: int
     hi: int
     ids: list[int]
-    starts: list[int]  # of pre-tokens
-    firsts: list[int]  # the index in ids at which each pre-token begins
 
 
 class ByteBpe:
@@ -54,60 +51,51 @@ class ByteBpe:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = regex.compile(PATTERN)
-        self.of = lru_cache(maxsize=200_000)(self._piece)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(self.bpe._encode_single_piece(piece))
+        self.bytes_of = {i: len(b) for b, i in ranks.items()}
 
     def leaf(self, text: str, lo: int, hi: int) -> Node:
-        ids: list[int] = []
-        starts: list[int] = []
-        firsts: list[int] = []
-        for m in self.pieces.finditer(text[lo:hi]):
-            starts.append(lo + m.start())
-            firsts.append(len(ids))
-            ids.extend(self.of(m.group()))
-        return Node(lo, hi, ids, starts, firsts)
+        return Node(lo, hi, self.bpe.encode_ordinary(text[lo:hi]))
 
-    def join(self, text: str, left: Node, right: Node) -> Node:
-        """The node of both texts; ``right`` begins where ``left`` ends."""
-        if not left.starts:
-            return right
-        if not right.starts:
-            return left
-        m = right.lo
-        keep = len(left.starts)
-        while keep and (left.starts[keep] if keep < len(left.starts) else left.hi) + MARGIN > m:
-            keep -= 1
-        # pre-token number `keep` is the first that the seam may change
-        begin = left.starts[keep] if keep < len(left.starts) else left.hi
-        width = 64
+    @staticmethod
+    def _last_firm(text: str, lo: int, m: int) -> int:
+        """The last firm position of the node from ``lo`` before ``m``, or ``lo``."""
+        width = SEAM
         while True:
-            end = min(right.hi, m + width)
-            window = self.leaf(text, begin, end)
-            for i, s in enumerate(window.starts):
-                after = window.starts[i + 1] if i + 1 < len(window.starts) else end
-                if end < right.hi and after + MARGIN > end:
-                    break
-                if s >= m and (j := bisect_left(right.starts, s)) < len(right.starts) and right.starts[j] == s:
-                    return self._splice(left, keep, window, i, right, j)
-            if end == right.hi:
-                return self._splice(left, keep, window, len(window.starts), right, len(right.starts))
+            begin = max(lo, m - width)
+            found = -1
+            for f in _FIRM.finditer(text, begin, m):
+                found = f.end()
+            if found > lo or begin == lo:
+                return max(found, lo)
             width *= 2
 
     @staticmethod
-    def _splice(left: Node, keep: int, window: Node, i: int, right: Node, j: int) -> Node:
-        a = left.firsts[keep] if keep < len(left.firsts) else len(left.ids)
-        b = window.firsts[i] if i < len(window.firsts) else len(window.ids)
-        c = right.firsts[j] if j < len(right.firsts) else len(right.ids)
-        return Node(
-            left.lo,
-            right.hi,
-            left.ids[:a] + window.ids[:b] + right.ids[c:],
-            left.starts[:keep] + window.starts[:i] + right.starts[j:],
-            left.firsts[:keep] + [a + f for f in window.firsts[:i]] + [a + b - c + f for f in right.firsts[j:]],
-        )
+    def _first_firm(text: str, m: int, hi: int) -> int:
+        """The first firm position of the node to ``hi`` after ``m``, or ``hi``."""
+        width = SEAM
+        while True:
+            end = min(hi, m + width)
+            if f := _FIRM.search(text, m, end):
+                return f.end()
+            if end == hi:
+                return hi
+            width *= 2
+
+    def _ids_in(self, ids: list[int], size: int, step: int) -> int:
+        """How many ids from the begin (step 1) or the end (step -1) make up ``size`` bytes."""
+        n = 0
+        while size > 0:
+            size -= self.bytes_of[ids[n if step > 0 else -1 - n]]
+            n += 1
+        return n
+
+    def join(self, text: str, left: Node, right: Node) -> Node:
+        """The node of both texts; ``right`` begins where ``left`` ends."""
+        m = right.lo
+        a, b = self._last_firm(text, left.lo, m), self._first_firm(text, m, right.hi)
+        head = left.ids[: len(left.ids) - self._ids_in(left.ids, len(text[a:m].encode()), -1)]
+        tail = right.ids[self._ids_in(right.ids, len(text[m:b].encode()), 1) :]
+        return Node(left.lo, right.hi, head + self.bpe.encode_ordinary(text[a:b]) + tail)
 
     def tree(self, text: str, lo: int, hi: int, leaf: int) -> Node:
         if hi - lo <= leaf:
@@ -119,8 +107,6 @@ class ByteBpe:
         """Ids of ``text``; none for an empty or null text."""
         if not text:
             return []
-        if len(text) <= leaf:  # a tree of one leaf
-            return self.bpe.encode_ordinary(text)
         return self.tree(text, 0, len(text), max(1, leaf)).ids
 
     def decode(self, ids: list[int], leaf: int = LEAF) -> str:
