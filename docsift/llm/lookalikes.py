@@ -1,9 +1,11 @@
 """One consistent form for texts that look the same.
 
-DuckDB runs inside Arrow partitions: one embedded SQL statement maps compatibility forms (full width, ligatures),
-spaces of other widths, invisible characters and look-alike letters with ``translate``, ``regexp_replace`` and
-``nfc_normalize``. What a reader can see stays: letter case, accents, digits, punctuation and line breaks, and also
-superscripts, ordinal signs or fractions, which a full compatibility decomposition would flatten.
+DuckDB runs inside Arrow partitions: one embedded SQL statement maps compatibility forms, spaces of other widths,
+invisible characters and look-alike letters with ``translate``, ``regexp_replace`` and ``nfc_normalize``. The
+compatibility forms come from the Unicode data: full and half width (Katakana as well) and unbreakable forms are the
+plain characters; ligatures, digraphs, Roman numerals and rows of dots are the letters and dots they show. What a reader
+can see stays: letter case, accents, digits, punctuation and line breaks, the number of spaces, and also superscripts,
+ordinal signs, fractions, the long s or squared units, which a full compatibility decomposition would flatten.
 
 Look-alikes are resolved by word: a word that holds a letter only Cyrillic (Greek) has is written in Cyrillic (Greek),
 every other word in Latin letters. Letters with no double decide, and these are the same in all variants of a word,
@@ -20,19 +22,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import pairs_within
+from docsift.llm.common import classes_within, pairs_within
 from docsift.session import spread
 
 # Letters of other scripts and their Latin doubles.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухһԁԛԝӏү", "ABESIJKMHOPCTYXYQWaesijopcyxhdqwly", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳ", "ABEZHIKMNOPTYXovj", strict=True))
 OTHER = dict(zip("ոօսցհɡıK․꞉∕⁄‐‑ʼ;։∶∣ǀ−ɑ", "nouqhgiK.://--';::||-a", strict=True))
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
 SPACES = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\t]"
 MARKS = "̧̨̀́̂̃̄̆̇̈̊̋̌͂"
 
 
+#: Decomposed by the Unicode data, but of another look than what they decompose to: long s, Greek symbols, Coptic forms.
+OTHER_LOOK = set(map(chr, [0x17F, *range(0x3D0, 0x3D7), *range(0x3F0, 0x3F6), 0x3F9]))
+
+
+def compatible() -> dict[str, str]:
+    """Characters and the plain ones that look the same, width apart, by the kind of their decomposition."""
+    out = {}
+    for c in map(chr, range(0x80, 0x110000)):
+        kind, _, parts = unicodedata.decomposition(c).partition(" ")
+        if kind not in ("<wide>", "<narrow>", "<noBreak>", "<compat>") or c in OTHER_LOOK:
+            continue
+        plain = "".join(chr(int(x, 16)) for x in parts.split())
+        shown = unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo", "Nl", "Po") and plain[0] not in " /(" and "/" not in plain
+        if kind != "<compat>" or shown:
+            out[c] = unicodedata.normalize("NFKC", plain) if kind == "<compat>" else plain
+    return out
+
+
 def _with_accents(pairs: dict[str, str]) -> dict[str, str]:
     """``pairs``, and every composed letter of a base and a mark that exists on both sides."""
     out = dict(pairs)
@@ -54,16 +73,19 @@ def _translate(expr: str, pairs: dict[str, str]) -> str:
 
 def statement(source: str = "batch") -> str:
     """The SQL over a relation of ``i, t``; gives ``i, t, form`` (null where t is null)."""
-    full_width = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)} | {"￠": "¢", "￡": "£", "￥": "¥"}
+    plain = {c: x for c, x in compatible().items() if not c.isspace()}
+    single = {c: x for c, x in plain.items() if len(x) == 1}
+    several = {c: x for c, x in plain.items() if len(x) > 1}
     expr = f"regexp_replace(t, {_sql(INVISIBLE)}, '', 'g')"
     expr = f"regexp_replace({expr}, {_sql(SPACES)}, ' ', 'g')"
-    expr = _translate(expr, full_width | OTHER)
-    for a, b in LIGATURES.items():
-        expr = f"replace({expr}, {_sql(a)}, {_sql(b)})"
+    expr = _translate(expr, single | OTHER)
+    cut_up = "f1"
+    for a, b in several.items():
+        cut_up = f"replace({cut_up}, {_sql(a)}, {_sql(b)})"
     cyrillic, greek = _with_accents(CYRILLIC), _with_accents(GREEK)
     latin_of = cyrillic | greek
     # a word in Latin doubles; NFC before, so that composed letters are found, and after, as translating may leave a pair
-    expr = f"nfc_normalize({expr})"
+    joined = f"nfc_normalize(CASE WHEN regexp_matches(f1, '[{''.join(several)}]') THEN {cut_up} ELSE f1 END)"
     back_cyrillic = {v: k for k, v in reversed(list(cyrillic.items()))}
     back_greek = {v: k for k, v in reversed(list(greek.items()))}
     only_cyrillic = "".join(sorted(c for c in map(chr, range(0x400, 0x530)) if c not in cyrillic and unicodedata.category(c)[0] == "L"))
@@ -77,7 +99,7 @@ def statement(source: str = "batch") -> str:
                 WHEN regexp_matches(w, '[{only_cyrillic}]') THEN {_translate(word, back_cyrillic)}
                 WHEN regexp_matches(w, '[{only_greek}]') THEN {_translate(word, back_greek)}
                 ELSE {word} END), '')) AS form
-        FROM (SELECT i, t, {expr} AS flat FROM {source})"""
+        FROM (SELECT i, t, {joined} AS flat FROM (SELECT i, t, {expr} AS f1 FROM {source}))"""
 
 
 def consistent_form(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -106,6 +128,15 @@ def same_looking_pairs(df: DataFrame, ident: str = "doc_id", text: str = "text",
     Null and empty texts are in no pair; exact copies are no pair. Texts and forms are compared by 256-bit digests,
     so whole texts aren't shuffled.
     """
+    return pairs_within(_digests(df, ident, text), "look", ident, "exact", left, right)
+
+
+def same_looking_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(ident, class_id, links)`` of every row whose text is neither null nor empty: the smallest id of the texts that
+    look the same, and how many of them are not the identical string."""
+    return classes_within(_digests(df, ident, text), "look", ident, "exact")
+
+
+def _digests(df: DataFrame, ident: str, text: str) -> DataFrame:
     forms = consistent_form(df.filter(F.length(text) > 0), ident, text)
-    keys = forms.select(ident, F.unhex(F.sha2("form", 256)).alias("look"), F.unhex(F.sha2(text, 256)).alias("exact"))
-    return pairs_within(keys, "look", ident, "exact", left, right)
+    return forms.select(ident, F.unhex(F.sha2("form", 256)).alias("look"), F.unhex(F.sha2(text, 256)).alias("exact"))

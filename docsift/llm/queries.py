@@ -56,12 +56,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_looking_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.same_looking_classes(table(spark, d, "documents"))
+
+
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_form(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p5_found, p5_repaired, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p5_found, p5_repaired, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_classes, p9_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
