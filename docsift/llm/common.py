@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.session import HOT, cut, hot_keys, join_hot, measured
 
 #: Rows of a block: a group of pairs_within() is compared block by block, so a task holds two blocks of it at a time.
 BLOCK = 4_000
+#: Rows from which a variant of a group has blocks of its own.
+COPIES = 64
 
 
 def _rows(df: DataFrame, key: str, ident: str, variant: str) -> tuple[DataFrame, int]:
@@ -18,26 +20,56 @@ def _rows(df: DataFrame, key: str, ident: str, variant: str) -> tuple[DataFrame,
     return rows, got["n"]
 
 
+def cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` twice, for the two sides of a join of a group with itself: cell ``(x, y)``, x <= y, of a group gets its
+    block x on the left and its block y on the right.
+
+    ``rows`` has ``own``, the block of a row, ``blocks``, their number in its group, and ``lo`` and ``hi``: a row goes to
+    the cells with the blocks from ``lo`` on on its right, and with the blocks up to ``hi`` on its left.
+    """
+    upto = lambda a, b: F.explode(F.when(a <= b, F.sequence(a, b)))
+    one = rows.withColumn("x", F.col("own")).withColumn("y", upto(F.col("lo"), F.col("blocks") - 1))
+    two = rows.withColumn("x", upto(F.lit(0), F.col("hi"))).withColumn("y", F.col("own"))
+    return one.drop("own", "blocks", "lo", "hi"), two.drop("own", "blocks", "lo", "hi")
+
+
+def _in_blocks(rows: DataFrame, n: int, block: int, hot: int) -> DataFrame:
+    """The ``rows (k, i, v)`` of groups with several variants, in blocks for cells().
+
+    A variant of COPIES rows and more has blocks of its own, which don't meet each other, as its rows form no pair. The
+    other variants share blocks by a hash, so of these at most COPIES rows that form no pair with a row are beside it.
+    """
+    number = lambda c: F.ceil(c / F.lit(block)).cast("int")
+    variants = rows.groupBy("k", "v").agg(F.count("*").alias("c")).withColumn("alone", F.col("c") >= COPIES)
+    groups = variants.groupBy("k").agg(F.count("*").alias("nv"), F.sum(F.when(~F.col("alone"), F.col("c"))).alias("rest"), F.sum(F.when(F.col("alone"), number(F.col("c")))).alias("more"))
+    mixing = number(F.coalesce("rest", F.lit(0)))
+    groups = groups.filter("nv > 1").select("k", mixing.alias("mixing"), (mixing + F.coalesce("more", F.lit(0))).cast("int").alias("blocks"))
+    placed = cut(join_hot(variants, groups, ["k"], hot_keys(variants, ["k"], n, hot), "inner"))
+    before = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)  # one row per large variant
+    own = F.col("mixing") + F.coalesce(F.sum(number(F.col("c"))).over(before), F.lit(0)).cast("int")
+    large = placed.filter("alone").select("k", "v", "blocks", "mixing", own.alias("first"), number(F.col("c")).alias("width"))
+    small = placed.filter("not alone").select("k", "v", "blocks", "mixing", F.lit(None).cast("int").alias("first"), F.lit(1).alias("width"))
+    each = join_hot(rows, large.unionByName(small), ["k", "v"], hot_keys(rows, ["k", "v"], n, hot), "inner")
+    return each.select(
+        "k", "i", "v", "blocks",
+        F.when(F.col("first").isNull(), F.pmod(F.xxhash64("v"), F.col("mixing"))).otherwise(F.col("first") + F.pmod(F.xxhash64("i"), F.col("width"))).cast("int").alias("own"),
+        F.col("first"), F.col("width"),
+    ).withColumn("lo", F.coalesce(F.col("first") + F.col("width"), "own")).withColumn("hi", F.coalesce(F.col("first") - 1, "own")).drop("first", "width")
+
+
 def pairs_within(df: DataFrame, key: str, ident: str, variant: str, left: str, right: str, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """Pairs ``(left, right)``, smaller first, of ids with equal ``key`` and different ``variant``.
 
     Groups in which only one variant occurs never reach the join, so a group of exact copies costs one aggregated row,
-    whatever its size. A group of n rows is cut into ceil(n / block) blocks by a hash of the id, and every two blocks
-    (and every block with itself) meet in a cell of their own: a cell holds about two blocks of rows, whatever n is, and
-    the rows moved are one in ``block`` of the pairs that come out. Rows with a null in any of the three columns are in
-    no pair; repeated rows count once; an empty input gives no row.
+    whatever its size. A group is cut into blocks of ``block`` rows, and every two blocks that can form a pair (and
+    every block of several variants with itself) meet in a cell of their own: a cell holds about two blocks of rows,
+    however large the group is, and few rows are moved for the pairs that come out. Rows with a null in any of the
+    three columns are in no pair; repeated rows count once; an empty input gives no row.
     """
     rows, n = _rows(df, key, ident, variant)
-    sizes = (
-        rows.groupBy("k")
-        .agg(F.count("*").alias("n"), (F.min("v") != F.max("v")).alias("mixed"))
-        .filter("mixed")
-        .select("k", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
-    )
-    mixed = join_hot(rows, sizes, ["k"], hot_keys(rows, ["k"], n, hot), "inner")
-    own = mixed.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
-    one = own.select("k", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("i").alias("i1"), F.col("v").alias("v1"))
-    two = own.select("k", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("i").alias("i2"), F.col("v").alias("v2"))
+    one, two = cells(_in_blocks(rows, n, block, hot))
+    one = one.select("k", "x", "y", F.col("i").alias("i1"), F.col("v").alias("v1"))
+    two = two.select("k", "x", "y", F.col("i").alias("i2"), F.col("v").alias("v2"))
     pairs = (
         one.join(two, ["k", "x", "y"])
         .filter("v1 <> v2 and i1 <> i2 and (x < y or i1 < i2)")

@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_place_pairs(table(spark, d, "analyzed"), table(spark, d, "city_ref"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_place_classes(table(spark, d, "analyzed"), table(spark, d, "city_ref"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.find_personal(table(spark, d, "doc_text"))
 
@@ -65,7 +69,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p5_found, p5_repaired, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_classes, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_redacted, p4_found, p5_found, p5_repaired, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_classes, p9_forms)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,9 +4,10 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docsift.llm import addresses, groups, lookalikes, mixing, name_parts, names, personal, queries, scan_noise, tokens
-from docsift.llm.common import pairs_within
+from docsift.llm.common import _in_blocks, _rows, cells, classes_within, pairs_within
 
 TOWNS = "city_name string, state_code string, country_name string, code_prefix string, code_length int"
 
@@ -48,6 +49,33 @@ def test_groups_against_union_find(spark, hot):
     assert dict((r[0], r[1]) for r in got) == union_find(pairs) and len(got) == len(union_find(pairs))
 
 
+def test_a_class_of_many_rows_stays_in_bounded_cells(spark):
+    n, block = 100_000, 4_000
+    df = spark.range(n).select(F.lit("k").alias("k"), "id", F.when(F.col("id") < 30_000, "one").when(F.col("id") < 60_000, F.col("id").cast("string")).otherwise("other").alias("v"))
+    rows, _ = _rows(df, "k", "id", "v")
+    for side in cells(_in_blocks(rows, n, block, 1_000)):
+        assert side.groupBy("x", "y").count().agg(F.max("count")).first()[0] < 1.2 * block
+    few = df.withColumn("v", F.when(F.col("id") < 3, F.col("id").cast("string")).otherwise("same"))
+    assert pairs_within(few, "k", "id", "v", "l", "r").count() == 3 * (n - 3) + 3
+    got = classes_within(few, "k", "id", "v", hot=1_000).groupBy("class_id", "links").count().collect()
+    assert {tuple(r) for r in got} == {(0, n - 1, 3), (0, 3, n - 3)}
+
+
+def test_pairs_of_large_variants_against_brute_force(spark):
+    rows = [("k", i, "abcdefgh"[min(7, i // 70)] if i < 300 else str(i % 90)) for i in range(420)]
+    df = spark.createDataFrame(rows, "k string, id bigint, v string")
+    got = pairs_within(df, "k", "id", "v", "l", "r", block=25, hot=50).collect()
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[2] != b[2]}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_groups_of_a_star_and_a_chain_without_the_tail(spark):
+    pairs = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000 + i, 2000 + (i * 7) % 300) for i in range(300)]
+    df = spark.createDataFrame(pairs, "left_ix bigint, right_ix bigint")
+    for hot, tail in ((20, 0), (groups.HOT, 0), (20, 100)):
+        assert dict(map(tuple, groups.connected_groups(df, "left_ix", "right_ix", hot=hot, tail=tail).collect())) == union_find(pairs)
+
+
 def test_groups_of_nothing_and_rejected(spark):
     df = spark.createDataFrame([(1, 2, False), (3, 4, None), (5, None, True)], "left_ix bigint, right_ix bigint, is_match boolean")
     assert groups.match_groups(df).count() == 0
@@ -63,6 +91,14 @@ def test_tree_encoding_is_exact(text, leaf):
     assert ids == BPE.bpe.encode_ordinary(text) and BPE.decode(ids, 3) == text
 
 
+def test_ordinary_texts_have_joins(monkeypatch):
+    joins = []
+    plain = tokens.ByteBpe.join
+    monkeypatch.setattr(tokens.ByteBpe, "join", lambda self, *a: joins.append(1) or plain(self, *a))
+    text = "The carrier returned 54 cartons because the note was previous. " * 14
+    assert BPE.encode(text) == BPE.bpe.encode_ordinary(text) and len(joins) >= 3
+
+
 def test_encoding_of_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "don't  stop"), (3, "don't  stop"), (4, "word " * 30_000)], "doc_id bigint, text string")
     got = {r["doc_id"]: list(r["ids"]) for r in tokens.encode_column(df, "doc_id", "text").collect()}
@@ -94,10 +130,18 @@ def test_look_alikes(spark):
     n = len(same + other)
     want = {(a, b) for a in range(4) for b in range(a + 1, 4)} | {(8, 9)} | {(a, n) for a in range(1, 4)}
     assert got == want
+    classes = {r["doc_id"]: (r["class_id"], r["links"]) for r in lookalikes.same_looking_classes(df).collect()}
+    assert classes[0] == (0, 3) and classes[n] == (0, 3) and classes[1] == (0, 4) and classes[8] == (8, 1) and classes[4] == (4, 0) and 10 not in classes and 11 not in classes
     forms = {r["doc_id"]: r["form"] for r in lookalikes.consistent_form(df, "doc_id", "text").collect()}
     assert forms[9] == "Договор" and forms[2] == same[0] and forms[10] == "" and forms[11] is None
 
 
+def test_compatibility_forms(spark):
+    texts = ["ｶﾞ ｱ Ⅳ … ﬁ a-b ½", "ガ ア IV ... fi a‑b ½", "ガ ア IV ... fi a-b 1/2", "x² ſ", "x2 s", "a  b", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {tuple(r) for r in lookalikes.same_looking_pairs(df).collect()} == {(0, 1)}
+
+
 def test_addresses(spark):
     towns = spark.createDataFrame([("Harwick", "HW", "Keth", "110", 5), ("Lorneport", "LP", "Vorland", "127", 6)], TOWNS)
     a = ["12 Yeltiford Street, Harwick 11045", "yeltifrod str. no 12; 11045 harwick", "HARWICK 11045, 12 YELTIFORD ST, near Bus Stand", "Unit 3, 12 Yeltiford Street, Harwick 11045", "3/12 Yeltiford St Harwick",
@@ -109,13 +153,39 @@ def test_addresses(spark):
     assert addresses.same_place_pairs(df.limit(0), towns).count() == 0
 
 
+RECORDS = "rec bigint, unit string, house string, street string, kind string, town string, code string"
+
+
+def test_addresses_without_kind_or_number(spark):
+    towns = spark.createDataFrame([("Harwick", "HW", "Keth", "110", 5), ("Carrowick", "CK", "Keth", "263", 6)], TOWNS)
+    a = ["12 Broadway, Harwick 11045", "12 BROADWAY Harwick 11045", "Hauptstrasse 12, Harwick 11045", "HAUPTSTRASSE 12, HARWICK 11045", "14 Broadway, Harwick 11045", "Carrowick 263 189 Belfiford Cres No 296 Keth",
+         "296 Belfiford Crescent, Carrowick 263189", "The Old Mill, Harwick", "THE OLD MILL HARWICK", "12 Broadway Street, Harwick", "-- 12"]
+    df = spark.createDataFrame([(i, (x,), "clash") for i, x in enumerate(a)], "doc_ix bigint, doc_fields struct<address: string>, text string")
+    got = {tuple(r) for r in addresses.same_place_pairs(df, towns).collect()}
+    assert got == {(0, 1), (2, 3), (5, 6), (7, 8)}
+    classes = {r["doc_ix"]: (r["class_id"], r["links"]) for r in addresses.same_place_classes(df, towns).collect()}
+    assert classes == {i: (c, n) for i, c, n in [(0, 0, 1), (1, 0, 1), (2, 2, 1), (3, 2, 1), (4, 4, 0), (5, 5, 1), (6, 5, 1), (7, 7, 1), (8, 7, 1), (9, 9, 0)]}
+
+
 def test_neighbourhood_blocks_lose_no_pair(spark):
     recs = [(i, "", str(i // 3), "abcdefghi" + "xyz"[i % 3], "street", "harwick", "") for i in range(90)]
-    df = spark.createDataFrame(recs, "rec bigint, unit string, house string, street string, kind string, town string, code string").repartition(5)
-    got = {tuple(sorted(r)) for r in addresses.neighbourhood_pass(df, ["town", "house", "street"], window=4, block=8).collect()}
+    df = spark.createDataFrame(recs, RECORDS).repartition(5)
+    placed = addresses._numbered(df, ["town", "house", "street"])
+    got = {tuple(sorted(r)) for r in addresses.neighbourhood_pass(placed, window=4, block=8).collect()}
     assert got == {(3 * k + i, 3 * k + j) for k in range(30) for i in range(3) for j in range(i + 1, 3)}
 
 
+def test_blocks_larger_than_the_window_lose_no_pair(spark):
+    rng = random.Random(4)
+    base = ["yeltiford", "quarlemont", "brindleham"]
+    streets = sorted({"".join(rng.choice("abxyz") if rng.random() < 0.12 else c for c in rng.choice(base)) for _ in range(200)})
+    recs = [(i, "", "7", w, "street", "harwick" if i % 5 else "", "11045") for i, w in enumerate(streets)] + [(900, "", "8", "yeltiford", "street", "harwick", "")]
+    df = spark.createDataFrame(recs, RECORDS)
+    got = {tuple(sorted(r)) for r in addresses.beyond_windows(df, len(recs), window=2, block=20).collect()}
+    want = {(x[0], y[0]) for x in recs for y in recs if x[0] < y[0] and addresses.same_place(x[1:], y[1:])}
+    assert got == want and len(want) > 100
+
+
 def test_edit_distances():
     assert addresses.edits("kirk", "krik") == 1 and addresses.edits("a", "abcdef") == 3
     assert name_parts.distance("ca", "abc") == 2 and name_parts.distance("kirk", "krik") == 1 and name_parts.distance("", "ab") == 2
