@@ -316,8 +316,8 @@ def place_classes(addresses: DataFrame, towns: DataFrame, window: int = WINDOW)
 
 
 def _placed(analyzed: DataFrame, towns: DataFrame, window: int) -> DataFrame:
-    docs = cut(analyzed.select("doc_ix", F.col("doc_fields.address").alias("text")).dropna().distinct())
-    return docs.join(place_classes(docs, towns, window), "text")
+    docs, got = measured(analyzed.select("doc_ix", F.col("doc_fields.address").alias("text")).dropna().distinct(), n=F.count("*"))
+    return join_hot(docs, cut(place_classes(docs, towns, window)), ["text"], hot_keys(docs, ["text"], got["n"]), "inner")
 
 
 def same_place_pairs(analyzed: DataFrame, towns: DataFrame, window: int = WINDOW) -> DataFrame:

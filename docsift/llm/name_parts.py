@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -68,6 +69,34 @@ def distance(a: str, b: str) -> int:
     return d[-1][-1]
 
 
+def variants(word: str, radius: int) -> set[str]:
+    """``word`` and what is left of it without up to ``radius`` letters: words within the radius share one of these."""
+    every = {word}
+    new = {word}
+    for _ in range(radius):
+        new = {w[:i] + w[i + 1 :] for w in new for i in range(len(w))}
+        every |= new
+    return every
+
+
+class Lexicon:
+    """Words that are found by the letters left of them: a look-up measures a few words, not all."""
+
+    def __init__(self, words: Iterable[str], radius: int):
+        self.at: dict[str, set[str]] = {}
+        for w in words:
+            for v in variants(w, radius):
+                self.at.setdefault(v, set()).add(w)
+
+    def near(self, word: str, most: int) -> set[str]:
+        """The words at most ``most`` edits from ``word``."""
+        met = set().union(*(self.at.get(v, ()) for v in variants(word, most)))
+        return {w for w in met if distance(word, w) <= most}
+
+
+_LONG, _TYPED, _GIVENS = Lexicon(LONG, 1), Lexicon(TYPED, 2), Lexicon(GIVENS, 1)
+
+
 class Name(NamedTuple):
     kind: str  # 'firm' or 'person'
     sector: str  # the trade's words in order of the alphabet, or the initials of the possible given names, joined by '/'
@@ -82,8 +111,8 @@ def _trade_word(word: str) -> str | None:
     if word in FULL:
         return FULL[word]
     if len(word) >= 5:
-        near = [w for w in LONG if abs(len(w) - len(word)) <= 1 and distance(word, w) <= 1]
-        return near[0] if len(near) == 1 else None
+        near = _LONG.near(word, 1)
+        return near.pop() if len(near) == 1 else None
     return None
 
 
@@ -91,7 +120,7 @@ def _trade_word(word: str) -> str | None:
 def _typed_trade_word(word: str) -> str | None:
     """The trade word that a further word of a firm is with one typing error, two in long words."""
     most = 1 if len(word) < 8 else 2
-    near = {FULL[w] for w in TYPED if abs(len(w) - len(word)) <= most and distance(word, w) <= most}
+    near = {FULL[w] for w in _TYPED.near(word, most)}
     return near.pop() if len(near) == 1 else None
 
 
@@ -107,8 +136,7 @@ def _given(word: str) -> frozenset[str] | None:
     if word in SHORT:
         return SHORT[word]
     if len(word) >= 5:
-        near = {g for g in GIVENS if abs(len(g) - len(word)) <= 1 and distance(word, g) <= 1}
-        return frozenset(near) or None
+        return frozenset(_GIVENS.near(word, 1)) or None
     return None
 
 

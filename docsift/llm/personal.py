@@ -1,14 +1,25 @@
 """Finding personal information in free text and replacing it with typed placeholders.
 
-Regular expressions propose spans; checksum validators (Luhn, mod-97, Verhoeff) and known forms confirm them; words just
-before and after adjust the score, upwards where they speak of a person, downwards where they speak of goods, orders or
-firms. A span is taken from THRESHOLD on; overlaps go to the surer kind.
+Regular expressions propose spans; checksum validators and known forms confirm or reject them; words just before and
+after adjust the score, upwards where they speak of a person, downwards where they speak of goods, orders or firms. A span
+is taken from THRESHOLD on; overlaps go to the surer kind.
+
+Kinds that carry a checksum (cards by Luhn, accounts by mod-97) stand and fall by it: a number that fails is rejected
+whatever stands around it, one that passes needs no context, and only words that speak of something else outweigh it.
+Kinds without one need context. Twelve-digit numbers of residents are such a kind, as only some countries' carry the
+Verhoeff checksum; one that passes counts a little more.
+
+A street address is a number, a street's name and a kind of street, in either order, with the parts that follow by the
+grammar of addresses; a line that is an address as a whole may be in small letters. A name is a sequence of capitalised
+words: known given names, titles and words before and after that speak of persons raise its score, words of trades, places
+and documents end it. A single word is a name only where the words around it leave no other reading.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import pandas as pd
@@ -17,10 +28,12 @@ from pyspark.sql import functions as F
 
 from docsift.llm.addresses import _KIND as STREET_WORDS
 from docsift.llm.addresses import LANDMARKS, UNITS, Reader
-from docsift.llm.name_parts import _given, read_name
+from docsift.llm.name_parts import FULL, LEGAL, _given, read_name
 from docsift.session import spread
 
 THRESHOLD = 2.0
+#: Characters beside a span in which context words are looked for.
+CONTEXT = 48
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 ORDER = ["email", "id_number", "phone", "street_address", "person_name"]
 
@@ -42,14 +55,16 @@ _IDS = [
     ("passport", re.compile(r"\b[A-Z]{1,2}\d{7,8}\b")),
     ("resident", re.compile(r"(?<![\w-])\d{4}([ -])\d{4}\1\d{4}(?![\w-])(?! \d)")),
     ("account", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("card", re.compile(r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{2,4}(?![\w-])")),
+    ("card", re.compile(r"(?<![\w-])(?:(?:4\d{3}|5[1-5]\d\d|2[2-7]\d\d|6011|65\d\d)([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d\d([ -]?)\d{6}\2\d{5}|3[068]\d\d([ -]?)\d{6}\3\d{4})(?![\w-])")),
 ]
-_ID_BEFORE = re.compile(r"(?:social security(?: number| no\.?)?|(?<!transaction )\bid\b[^.;\n]{0,24}|passport[^.;\n]{0,16}|national id|bearer of|taxpayer(?: card| no\.?)?|proof of identity|identity (?:card|number|no\.?)|licen[cs]e(?: no\.?)?|visitor document no\.|tax (?:id|number|card))\s*:?\s*$", re.I)
+_ID_BEFORE = re.compile(r"(?:social security(?: number| no\.?)?|(?<!transaction )\bid\b[^.;\n]{0,24}|passport[^.;\n]{0,16}|national id|bearer of|taxpayer(?: card| no\.?)?|proof of identity|identity (?:card|number|no\.?)|licen[cs]e(?: no\.?)?|visitor document no\.|tax (?:id|number|card))\s*(?:is|was|:|#)?\s*$", re.I)
 _NOT_PERSONAL = re.compile(r"(?:account code|consignment|batch(?: code)?|order|part no\.?|tariff heading|bill of lading|meter reading|previous|version|reference|number|invoice(?: no\.?)?|receipt(?: no\.?)?|transaction(?: id)?|serial|room|lane|extension|code|date)\s*:?\s*$", re.I)
-_PHONE_BEFORE = re.compile(r"(?:\btel\.?|\bph\.?|\bphone|\bmobile|\bcell|\bfax|call(?: back)?(?: on)?|\bdial|reached (?:under|at|on)|\bring|whatsapp|telephone)\s*:?\s*$", re.I)
+_PHONE_BEFORE = re.compile(r"(?:(?:\btel\.?|\bph\.?|\b(?:tele)?phone|\bmobile|\bcell|\bfax|\bcontact)(?: (?:number|no\.?))?(?: is| was)?|\breach(?: (?:me|us|him|her|them))?(?: (?:on|at|under))?|\btext(?: me| us)?(?: on| at)?|\bnumber is|call(?: (?:me|us|him|her|them))?(?: back)?(?: on| at)?|\bdial|reached (?:under|at|on)|\bring|whatsapp|telephone)\s*:?\s*$", re.I)
 _PHONE_AFTER = re.compile(r"\s*(?:is answered|\((?:evenings|day|work|home)\)|after (?:lunch|noon|hours)|is out of service|- ask for|before noon|instead)", re.I)
 _TITLE = r"(?:m/s|mr|mrs|ms|miss|dr|prof|herr|frau|mme)\b\.?"
 _NAME_TOKEN = r"(?:[^\W\d_]\.|[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*)"
+_TOKEN = re.compile(rf"{_NAME_TOKEN}[,.;:]?")
+_LEAD = re.compile(rf"(?i:{_TITLE})\s+")
 _NAME = rf"(?P<name>{_NAME_TOKEN}(?:,? {_NAME_TOKEN}){{0,3}}?)"
 _NAMES_BETWEEN = [
     re.compile(rf"\b(?i:{before})\s+(?:(?i:{_TITLE})\s+)?{_NAME}(?={after})")
@@ -105,18 +120,21 @@ def verhoeff(digits: str) -> bool:
     return c == 0
 
 
+#: Score of an identity number: of a form that proves nothing by itself, and of a checksum that holds.
+FORM, PROVEN = 1.0, 2.5
+
+
 def _numbers(text: str) -> Iterator[Span]:
     for name, pattern in _IDS:
         for m in pattern.finditer(text):
-            before = text[max(0, m.start() - 48) : m.start()]
-            score = 1.0
             digits = re.sub(r"\D", "", m[0])
-            if name == "card":
-                score += 0.5 if luhn(digits) else -1.0
-            elif name == "account":
-                score += 0.5 if mod97(m[0]) else -1.0
-            elif name == "resident":
-                score += 0.25 if verhoeff(digits) else 0.0
+            if name in ("card", "account"):
+                if not (luhn(digits) if name == "card" else mod97(m[0])):
+                    continue
+                score = PROVEN
+            else:
+                score = FORM + (0.25 if name == "resident" and verhoeff(digits) else 0.0)
+            before = text[max(0, m.start() - CONTEXT) : m.start()]
             if _ID_BEFORE.search(before):
                 score += 2.0
             elif _NOT_PERSONAL.search(before):
@@ -126,7 +144,7 @@ def _numbers(text: str) -> Iterator[Span]:
         digits = re.sub(r"\D", "", m[0])
         if not 8 <= len(digits) <= 15:
             continue
-        before, after = text[max(0, m.start() - 32) : m.start()], text[m.end() : m.end() + 24]
+        before, after = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
         score = 1.0 if m[0][0] == "+" or m[0].startswith(("(", "0")) else 0.5
         if _PHONE_BEFORE.search(before) or _PHONE_AFTER.match(after):
             score += 1.75
@@ -143,7 +161,7 @@ def _address_end(text: str, at: int) -> int:
     part = text[at:line_end]
     stop = len(part)
     inner = set(LANDMARKS.split()) | set(UNITS.split()) | {"no", "next", "close", "and", "the", "to"}
-    for m in re.finditer(r"\s+instead\b|\.\s*$|\.(?=\s+[A-Z\"])|(?<=[\w.])\s(?=[A-Z][a-z']+ [a-z]+)|(?<=\d)\s(?=\S+\s?(?:@|\(at\)|\[at\]))|(?<=\d)\s(?=[+(]\d)|(?<=\d)\s(?=(?:[A-Z][a-z]+ )?[A-Z][a-z]+,? (?:ID|No)\b)|\s(?=(?:E-mail|Cc|Tel|Fax|[Pp]h|Mobile|Passport|Social|ID|Proof|Signed|c/o|Attn|Dear)\b[.:]?\s)|\.?\s(?=\S+\s?(?:@|\(at\)|\[at\]))|\.(?=\s+(?:\d{3}[.-]|[+(]\d))", part):
+    for m in re.finditer(r"\s+(?:instead|and|or|who|which|where|until|since|because|but|so)\b|\.\s*$|\.(?=\s+[A-Z\"])|(?<=[\w.])\s(?=[A-Z][a-z']+ [a-z]+)|(?<=\d)\s(?=\S+\s?(?:@|\(at\)|\[at\]))|(?<=\d)\s(?=[+(]\d)|(?<=\d)\s(?=(?:[A-Z][a-z]+ )?[A-Z][a-z]+,? (?:ID|No)\b)|\s(?=(?:E-mail|Cc|Tel|Fax|[Pp]h|Mobile|Passport|Social|ID|Proof|Signed|c/o|Attn|Dear)\b[.:]?\s)|\.?\s(?=\S+\s?(?:@|\(at\)|\[at\]))|\.(?=\s+(?:\d{3}[.-]|[+(]\d))", part):
         word = re.search(r"([^\W\d_]+)$", part[: m.start()])
         if m[0].startswith(".") and m.end() < len(part) and word and (word[1].lower() in STREET_WORDS or word[1].lower() in inner or word[1].lower() in ("ind", "indl")):
             continue  # an abbreviation
@@ -158,29 +176,62 @@ def _address_end(text: str, at: int) -> int:
     return at + len(part[:stop].rstrip(" .,;-"))
 
 
+# Words that an address never holds, and the words of its grammar.
+_PROSE = set("a an of is are was were be been for with has have had by on in at we you he she they it this that these those our your his her their please not or if when until after before from as within will can may must take takes took into".split())
+_GRAMMAR = set(UNITS.split()) | set(LANDMARKS.split()) | {"next", "close", "the", "ind", "indl", "industrial"}
+_KINDS = "|".join(sorted(STREET_WORDS, key=len, reverse=True))
+_CAP = r"(?:[A-Z][^\W\d_]*(?:['’-][^\W\d_]+)*)"
+_NO = r"(?:(?:(?i:no\.?|number)\s?|\#)?\d{1,4}[A-Za-z]?)"
+_IN_UNIT = rf"(?:(?i:{'|'.join(UNITS.split())})\b\.?\s?(?i:no\.?\s?|nr\.?\s?|\#)?\d+[A-Za-z]?)"
+_STREET = rf"{_CAP}(?: {_CAP})?? (?:(?i:ind|indl|industrial)\.? )?(?:(?i:{_KINDS}))\b\.?"
+_LAND = rf"(?:(?i:{'|'.join(LANDMARKS.split())}|next to|close to)\.? (?:the )?{_CAP}(?: {_CAP})?)"
+_SEP = r"(?:\s?[,;]\s?|\s-\s|\s)"
+_ANCHOR = re.compile(
+    rf"(?<![\w#.-])(?:(?:{_IN_UNIT}{_SEP})?(?:\d{{1,4}}/)?{_NO},?\s{_STREET}|{_STREET},?\s(?i:no\.?\s?|\#)?\d{{1,4}}[A-Za-z]?\b(?!\s\d|[.,:/]\d|\s?%))"
+    rf"(?:{_SEP}{_IN_UNIT}|{_SEP}{_LAND}|\s?[,;]\s?{_CAP}(?: {_CAP}){{0,2}}|\s{_CAP}(?=,| \d{{5,6}}\b)|{_SEP}(?:\d{{5,6}}|\d{{2,3}} \d{{3}})\b)*"
+)
+_HAS_DIGIT, _HAS_DIGIT_OR_COLON = re.compile(r"\d"), re.compile(r"[\d:]")
+_LABELLED = re.compile(r"[^:]*:|[A-Z ]*(?:INVOICE|ORDER|RECEIPT|STATEMENT|MEMO)\b")
+
+
+def _is_address(reader: Reader, text: str) -> bool:
+    got = reader.read(text)
+    return got is not None and bool(got[1]) and bool(got[3])
+
+
 def _addresses(text: str, reader: Reader) -> Iterator[Span]:
     for m in _ADDRESS_BEFORE.finditer(text):
         end = _address_end(text, m.end())
-        if end > m.end() and reader.read(text[m.end() : end]) is not None:
+        if end > m.end() and _is_address(reader, text[m.end() : end]):
             yield Span(m.end(), end, "street_address", 3.0)
-    # the issuer's address at the top
-    for n, m in enumerate(re.finditer(r"[^\r\n]+", text)):
-        if n > 2 or re.match(r"[A-Za-z .]{2,20}:|[A-Z ]*(?:INVOICE|ORDER|RECEIPT|STATEMENT|MEMO)\b", m[0]):
-            break
+    # lines that are an address as a whole
+    for m in re.finditer(r"[^\r\n]+", text):
         line = m[0].strip()
-        if line and len(line) <= 160 and not re.search(r"[a-z]{3,} [a-z]{3,} [a-z]{3,} [a-z]{2,} ", line[: 0 if line.islower() else None]) and not _ADDRESS_BEFORE.search(line) and reader.read(line) is not None:
+        if not _HAS_DIGIT.search(line) or _LABELLED.match(line):
+            continue
+        words = re.findall(r"[^\W\d_]+", line)
+        small = [] if line.islower() else [w for w in words if w.islower() and len(w) > 2 and w not in STREET_WORDS and w not in _GRAMMAR]
+        if len(small) > 1 or any(w.lower() in _PROSE for w in words) or _ADDRESS_BEFORE.search(line):
+            continue
+        if _is_address(reader, line):
             at = m.start() + m[0].index(line)
             yield Span(at, at + len(line), "street_address", 3.0)
+    for m in _ANCHOR.finditer(text):
+        found = re.sub(rf"[,;]\s?(?:{_CAP} )?(?i:{_TITLE})$", "", m[0].rstrip())
+        before = text[max(0, m.start() - CONTEXT) : m.start()]
+        yield Span(m.start(), m.start() + len(found), "street_address", FORM if _NOT_PERSONAL.search(before) else 2.0)
 
 
 def _take_name(text: str, at: int) -> tuple[int, int] | None:
     """The name that begins at ``at``, if one does."""
-    if t := re.match(rf"(?i:{_TITLE})\s+", text[at : at + 12]):
-        at += t.end()
-    tokens = list(re.finditer(rf"{_NAME_TOKEN}[,.;:]?", text[at : at + 80].split("\n")[0]))
-    if not tokens or tokens[0].start() > 0:
+    if t := _LEAD.match(text, at):
+        at = t.end()
+    line_end = text.find("\n", at)
+    line_end = line_end if line_end >= 0 else len(text)
+    tokens = list(islice(_TOKEN.finditer(text, at, line_end), 5))
+    if not tokens or tokens[0].start() > at:
         return None
-    tokens = [t for k, t in enumerate(tokens) if k == 0 or text[at + tokens[k - 1].end() : at + t.start()] == " "][:4]
+    tokens = [t for k, t in enumerate(tokens) if k == 0 or text[tokens[k - 1].end() : t.start()] == " "][:4]
 
     def bare(k: int) -> str:
         return tokens[k][0].rstrip(",.;:")
@@ -198,7 +249,7 @@ def _take_name(text: str, at: int) -> tuple[int, int] | None:
         return tokens[k][0][-1] in ",.;:" and not initial(k)
 
     def end(k: int) -> tuple[int, int]:
-        return at, at + tokens[k].start() + len(bare(k) if not initial(k) else tokens[k][0].rstrip(",;:"))
+        return at, tokens[k].start() + len(bare(k) if not initial(k) else tokens[k][0].rstrip(",;:"))
 
     if not named(0) and not initial(0):
         return None
@@ -212,7 +263,7 @@ def _take_name(text: str, at: int) -> tuple[int, int] | None:
     if k:
         return end(k) if named(k) else None
     if closes(0) or not given(0):
-        if not closes(0) and named(1) and tokens[1].end() >= len(text[at : at + 80].split("\n")[0].rstrip("\r .")):
+        if not closes(0) and named(1) and not text[tokens[1].end() : line_end].strip("\r ."):
             return end(1)  # a given name that isn't known, and the line ends
         if not closes(0) and named(1) and tokens[1][0][-1] == ".":
             return end(1)
@@ -243,15 +294,68 @@ def _names(text: str) -> Iterator[Span]:
         if not line:
             continue
         at = m.start() + m[0].index(line)
-        shown = re.sub(r"[,\s(–-]*(?i:\(?prop\.?\)?|proprietor|proprietress|sole (?:trader|proprietor)|owner)\)?\.?$", "", line)
-        lead = re.match(rf"(?i:{_TITLE})\s+", shown)
+        top, first = first, False
+        if _HAS_DIGIT_OR_COLON.search(line) or not 2 <= line.count(" ") + 1 <= 12:
+            continue
+        shown = _TRADER.sub("", line)
+        lead = _LEAD.match(shown)
         skip = lead.end() if lead else 0
-        if len(shown) <= 48 and not re.search(r"\d|:", shown) and 1 < len(shown[skip:].split()) <= 4 and (n := read_name(shown)) and n.kind == "person":
+        if 1 < len(shown[skip:].split()) <= 4 and (n := read_name(shown)) and n.kind == "person":
             words = re.findall(r"[^\W\d_]+", shown[skip:])
             known = any(_given(w.lower()) for w in words) or any(len(w) == 1 for w in words) or bool(lead) or shown != line
             if known and not any(w.lower() in _NO_NAMES for w in words if len(w) > 1):
-                yield Span(at + skip, at + len(shown), "person_name", 2.5 if first else 2.0)
-        first = False
+                yield Span(at + skip, at + len(shown), "person_name", 2.5 if top else 2.0)
+    yield from _capitalised(text)
+
+
+_TRADER = re.compile(r"[,\s(–-]*(?i:\(?prop\.?\)?|proprietor|proprietress|sole (?:trader|proprietor)|owner)\)?\.?$")
+_SEQUENCE = re.compile(rf"(?<![\w.@'’-]){_CAP}(?: (?:[A-Z]\.|{_CAP})){{1,3}}(?![\w@]|\.\w)")
+# Words before and after a name that speak of a person, and capitalised words that are none of a name.
+_PERSON_BEFORE = re.compile(r"\b(?:met|meet|meeting|saw|with|by|from|to|for|thank|thanks|contact|ask(?:ed)?|tell|told|and|or|dear|hello|hi|regards|sincerely|signed|name is|am|called|was|is|(?:colleague|customer|tenant|employee|manager|visitor|neighbour|partner|mother|father|wife|husband|son|daughter|friend|driver|clerk)s?|that|when|while|since|but|let)[,:]?\s+$", re.I)
+_PERSON_AFTER = re.compile(r",?\s+(?:said|says|wrote|writes|called|calls|phoned|asked|told|signed|confirmed|collected|paid|lives|lived|works|worked|visited|arrived|whose|and I|joined|left|returned|agreed|complained|reported|\(born)\b")
+_ANY_AFTER = re.compile(r",?\s+(?:will|has|had|is|was|who|can|could|would|does|did|received)\b")
+_ARTICLE = re.compile(r"\b(?:the|a|an|this|that|our|your|its|each|every)\s+$", re.I)
+_NOT_IN_NAMES = set(
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday north south east west central upper lower old new"
+    " town hall gate side row ward park quarter hill station bus school church market bank hospital hotel centre center house floor room desk department office court street road avenue lane square bridge"
+    " invoice order receipt statement memo number account payment date total amount due page terms please kind best yours copy bill lading passport national identity".split()
+)
+
+
+def _capitalised(text: str) -> Iterator[Span]:
+    """Sequences of capitalised words, scored by what is known of the words and by the words around them."""
+    for m in _SEQUENCE.finditer(text):
+        words = m[0].split()
+        low = [w.strip(".").lower() for w in words]
+        start = m.start()
+        near = text[max(0, start - CONTEXT) : start].rstrip(" ")
+        begins = not near or near[-1] in ".!?\n\r:;\""
+        if begins and (low[0] in _NO_NAMES or low[0] in _PROSE or _PERSON_BEFORE.search(words[0] + " ")) or low[0] in _NO_NAMES and _given(low[0]) is None:
+            start += len(words[0]) + 1
+            words, low, begins = words[1:], low[1:], False
+        titled = _LEAD.match(m[0], start - m.start()) is not None
+        if titled:
+            start += len(words[0]) + 1
+            words, low, begins = words[1:], low[1:], False
+        if len(words) < 2 or any(w in _NOT_IN_NAMES or w in FULL or w in STREET_WORDS or w in _NO_NAMES and len(w) > 1 for w in low):
+            continue
+        after = text[m.end() : m.end() + CONTEXT]
+        if LEGAL.search(f" {' '.join(low)} ") or re.match(r",? (?:and|&|[A-Z(])", after) and re.match(r"(?:,? (?:and |& )?)[A-Z(]", after) and _firm_follows(after):
+            continue
+        before = text[max(0, start - CONTEXT) : start]
+        titled = titled or re.search(rf"(?i:\b{_TITLE})\s+$", before) is not None
+        score = 1.0 + (1.0 if any(_given(w) for w in low if len(w) > 2) else 0.0)
+        score += 1.0 if titled else -0.5 if begins else -1.0 if _ARTICLE.search(before) else 0.0
+        score += 1.0 if _PERSON_BEFORE.search(before) else 0.0
+        score += 1.5 if _PERSON_AFTER.match(after) else 0.5 if _ANY_AFTER.match(after) else 0.0
+        if not any(len(w) > 1 and not w.isupper() for w in words):
+            score -= 1.0
+        yield Span(start, m.end(), "person_name", score)
+
+
+def _firm_follows(after: str) -> bool:
+    word = re.match(r",? (?:and |& )?\(?([^\W\d_]+)", after)
+    return word is not None and (word[1].lower() in FULL or LEGAL.fullmatch(word[1].lower()) is not None)
 
 
 def spans(text: str | None, reader: Reader | None = None) -> list[Span]:
@@ -289,7 +393,7 @@ def find_personal(doc_text: DataFrame, source: str = "text") -> DataFrame:
             rows = [(ix, s.kind, t[s.start : s.end]) for ix, t in zip(frame["doc_ix"], frame["text"], strict=True) for s in spans(t, reader)]
             yield pd.DataFrame(rows, columns=["doc_ix", "pii_type", "pii_text"])
 
-    texts = spread(doc_text.filter((F.col("source") == source) & (F.length("text") > 0)).select("doc_ix", "text").dropna(), "doc_ix").distinct()
+    texts = spread(doc_text.filter((F.col("source") == source) & (F.length("text") > 0)).select("doc_ix", "text").dropna())
     return texts.mapInPandas(run, "doc_ix bigint, pii_type string, pii_text string").distinct()
 
 

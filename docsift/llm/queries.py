@@ -32,6 +32,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_name_pairs(table(spark, d, "analyzed"))
 
 
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_name_entities(table(spark, d, "analyzed"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.scan_defects(table(spark, d, "doc_text"))
 
@@ -69,7 +73,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_redacted, p4_found, p5_found, p5_repaired, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_classes, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_redacted, p4_found, p4_entities, p5_found, p5_repaired, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_classes, p9_forms)}
 
 
 def oracle_sql() -> dict[str, str]:

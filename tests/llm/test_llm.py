@@ -194,9 +194,9 @@ def test_edit_distances():
 def test_radius_join_against_brute_force(spark):
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(3, 6))) for _ in range(160)})
-    df = spark.createDataFrame([(i, "s" if i % 2 else "t", w) for i, w in enumerate(words)], "rec bigint, sector string, core string")
+    df = spark.createDataFrame([(str(i), "s" if i % 2 else "t", w) for i, w in enumerate(words)], "rec string, sector string, core string")
     for radius in (1, 2):
-        got = {tuple(sorted(r)) for r in names.radius_pairs(df, radius, cell=12).collect()}
+        got = {tuple(sorted(map(int, r))) for r in names.radius_pairs(df, radius, cell=12).collect()}
         want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if i % 2 == j % 2 and name_parts.distance(words[i], words[j]) <= radius}
         assert got == want
 
@@ -208,6 +208,14 @@ def test_names(spark):
     got = {tuple(r) for r in names.same_name_pairs(df).collect()}
     assert got == {(x, y) for g in ((0, 1, 2, 3), (5, 6, 7, 8, 9)) for x in g for y in g if x < y}
     assert names.same_name_pairs(df.limit(0)).count() == 0
+    classes = {r["doc_ix"]: (r["class_id"], r["links"]) for r in names.same_name_entities(df).collect()}
+    assert all(classes[x] == (0, 3) for x in range(4)) and all(classes[x] == (5, 4) for x in range(5, 10)) and classes[4] == (4, 0) and set(classes) == set(range(13))
+
+
+def test_lexicon_against_all_words():
+    for word in ("chemcal", "enginering", "machinary", "elizabth", "lizabeth", "xyzzy", "textlies"):
+        for lexicon, words, most in ((name_parts._TYPED, name_parts.TYPED, 2), (name_parts._LONG, name_parts.LONG, 1), (name_parts._GIVENS, name_parts.GIVENS, 1)):
+            assert lexicon.near(word, most) == {w for w in words if name_parts.distance(word, w) <= most}
 
 
 def test_names_one_typing_error_apart_as_typed(spark):
