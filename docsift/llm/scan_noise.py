@@ -2,9 +2,9 @@
 
 Furniture (running headers and footers, page numbers) is told by its form and its position on the page. The rest is
 edited by characters: an averaged perceptron scores, for each word, the operations keep, replace, insert, delete and
-line-join that the fixed table of confusions allows, from the characters, their neighbours and how often the word
-occurs in the whole corpus before and after the edit. It is trained on clean words of the corpus that are misread on
-purpose; the sample is bounded by TRAIN_WORDS, all counts cover all texts. Words are scored once each, however often
+line-join that the fixed table of confusions allows, one or two at a word, from the characters, their neighbours and how
+often the word occurs in the whole corpus before and after the edit. Line-joins and letters for digits in numbers are its
+decisions as well. It is trained on clean words of the corpus that are misread on purpose, and on numbers made up; the sample is bounded by TRAIN_WORDS, all counts cover all texts. Words are scored once each, however often
 they occur, and candidates meet their counts in joins, so no vocabulary is broadcast or collected.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 import random
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +34,7 @@ EPOCHS = 6
 
 _DIGIT = r"[\dOoIlBSZ]"
 _PAGE = re.compile(rf"(?:(?:page|pg\.?|p\.?|seite|s\.)\s*({_DIGIT}{{1,4}})(?:\s*(?:of|/|von)\s*{_DIGIT}{{1,4}})?|\[({_DIGIT}{{1,4}})/{_DIGIT}{{1,4}}\]|[-–—]\s?({_DIGIT}{{1,4}})\s?[-–—]|({_DIGIT}{{1,4}}) \| {_DIGIT}{{1,4}}|({_DIGIT}{{1,4}}))", re.I)
-_HEADER = re.compile(r"(?:[\dOIl/]{1,7}\s+)?([^\W\d_][^:]{2,70}?)(?:\s+[|/–—-]\s+| {2,})([^\W\d_][\w@]*(?: [\w@]+){1,3}?)(?:[\s|/–—-]+(?:page |p\. ?|pg |seite )?[\dOIl/]{1,7})?", re.I)
+_HEADER = re.compile(r"(?:[\dOIl/]{1,7}\s+)?([^\W\d_][^:]{2,}?)(?:\s+[|/–—-]\s+| {2,})([^\W\d_][\w@]*(?: [\w@]+){1,3}?)(?:[\s|/–—-]+(?:page |p\. ?|pg |seite )?[\dOIl/]{1,7})?", re.I)
 _NUMBERED = re.compile(r"(?:([\dOIl/]{1,7})\s+)?(\S.*?)(?:[\s|/–—-]+(?:page |p\. ?|pg |seite )?([\dOIl/]{1,7}))?", re.I)
 _ROLE = re.compile(r"sole trader|proprietor|prop\.?$|owner", re.I)
 _TABLE = re.compile(r"\S.* [\dOoIlBSZb]+ x [\dOoIlBSZb][\dOoIlBSZb,.]*")
@@ -52,7 +52,7 @@ def _digits(text: str) -> str:
 def _near(a: str, b: str) -> bool:
     """Equal up to two misread characters."""
     a, b = a.casefold(), b.casefold()
-    return a == b or abs(len(a) - len(b)) <= 2 and len(a) > 8 and _digits(a.replace("rn", "m").replace("c", "e"))[:60] == _digits(b.replace("rn", "m").replace("c", "e"))[:60] or len(a) == len(b) > 8 and sum(x != y for x, y in zip(a, b, strict=True)) <= 2
+    return a == b or abs(len(a) - len(b)) <= 2 and len(a) > 8 and _digits(a.replace("rn", "m").replace("c", "e")) == _digits(b.replace("rn", "m").replace("c", "e")) or len(a) == len(b) > 8 and sum(x != y for x, y in zip(a, b, strict=True)) <= 2
 
 
 def _unnumbered(line: str) -> str:
@@ -69,7 +69,7 @@ def furniture(lines: list[str]) -> dict[int, str]:
     n = len(text)
     names: list[str] = []
     for i, t in enumerate(text):
-        if (m := _HEADER.fullmatch(t)) and not _ROLE.search(m[2]) and not _TABLE.fullmatch(t) and len(t) <= 90 and (len(m[1].split()) > 1 or i == 0):
+        if (m := _HEADER.fullmatch(t)) and not _ROLE.search(m[2]) and not _TABLE.fullmatch(t) and (len(m[1].split()) > 1 or i == 0):
             out[i] = "header"
             names.append(m[1].strip())
     first = next((i for i, t in enumerate(text) if t), None)
@@ -164,13 +164,39 @@ def body_units(lines: list[str], gone: dict[int, str]) -> tuple[list[Unit], list
     return units, joins
 
 
-def misread_number(text: str, line: str) -> bool:
-    """Whether a token is an amount or count in which a digit was read as a letter."""
-    if not re.search(r"\d", text) or not re.search(r"[A-Za-z]", text):
-        return False
-    if re.match(r"\s*(?:invoice|receipt|order|transaction|po|ref|bill)\b.*:", line, re.I):
-        return False
-    return bool(re.fullmatch(r"\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?", _digits(text)))
+_AMOUNT = re.compile(r"\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?")
+_NUMBERED_LINE = re.compile(r"\s*(?:invoice|receipt|order|transaction|po|ref|bill)\b.*:", re.I)
+_MIXED = re.compile(r"(?=.*\d)(?=.*[A-Za-z])")
+
+
+def number_features(text: str, line: str) -> list[str]:
+    """Of replacing the letters of a token that has digits too by the digits they look like."""
+    letters = [c for c in text if c.isalpha()]
+    amount = _AMOUNT.fullmatch(_digits(text)) is not None
+    coded = _NUMBERED_LINE.match(line) is not None
+    return ["number", f"na {amount}", f"nc {coded}", f"na {amount} nc {coded}", f"nl {min(3, len(letters))}", f"nk {all(c in DIGITS for c in letters)}", f"n0 {text[0].isalpha()}", f"nu {len(letters) > 1 and text[:2].isupper()}"]
+
+
+def number_examples(rng: random.Random, many: int) -> list[tuple[list[list[str]], int]]:
+    """Examples for the editor: amounts and counts with a digit misread, and codes that are written with letters."""
+    letters_for = defaultdict(list)
+    for letter, digit in DIGITS.items():
+        letters_for[digit].append(letter)
+    out = []
+    for _ in range(many):
+        n = rng.randrange(10, 99_999)
+        right = rng.choice([f"{n:,}.{rng.randrange(100):02d}", str(n), f"{n}.{rng.randrange(100):02d}"])
+        at = rng.choice([i for i, c in enumerate(right) if c in letters_for] or [-1])
+        if at >= 0:
+            seen = right[:at] + rng.choice(letters_for[right[at]]) + right[at + 1 :]
+            if _MIXED.match(seen):
+                out.append(([number_features(seen, rng.choice(["Grand Total: ", "the carrier returned ", "4 x "]) + seen)], 0))
+        code = rng.choice([f"{rng.choice('BSOI')}{n:07d}", f"{n:07d}{rng.choice('ABS')}", f"INV-{n:07d}", f"{n}th", f"{n}kg", f"PR-{n}"])
+        out.append(([number_features(code, rng.choice(["Invoice No: ", "PO No: ", "Transaction ID: ", "the certificate "]) + code)], -1))
+    return out
+
+
+Edit = tuple[int, str, str]
 
 
 def candidates(word: str) -> list[tuple[int, str, str, str]]:
@@ -184,35 +210,47 @@ def candidates(word: str) -> list[tuple[int, str, str, str]]:
     return out
 
 
+def double_candidates(word: str) -> list[tuple[Edit, Edit, str]]:
+    """Two edits of a lower-case word that don't overlap, the earlier first, and the edited word."""
+    single = [c[:3] for c in candidates(word)]
+    return [(x, y, word[: x[0]] + x[2] + word[x[0] + len(x[1]) : y[0]] + y[2] + word[y[0] + len(y[1]) :]) for x in single for y in single if x[0] + len(x[1]) <= y[0]]
+
+
 def _bucket(n: int) -> int:
     return min(n.bit_length(), 12)
 
 
-def features(word: str, at: int, seen: str, meant: str, before: int, after: int, clean: int) -> list[str]:
-    """Of one edit of a word: the operation, its neighbours, the corpus counts before and after it, and how often the
-    word occurs in texts that were not scanned."""
-    left = word[at - 1] if at else "^"
-    right = word[at + len(seen)] if at + len(seen) < len(word) else "$"
-    kind = "replace" if len(seen) == len(meant) else "delete" if len(seen) > len(meant) else "insert"
-    ratio = _bucket(after) - _bucket(before)
-    return [
-        "edit", f"k {kind}", f"e {seen}>{meant}", f"b {_bucket(before)}", f"a {_bucket(after)}", f"r {max(-6, min(6, ratio))}", f"0 {before == 0}",
-        f"k {kind} r {max(-6, min(6, ratio))}", f"e {seen}>{meant} 0 {before == 0}", f"l {left.isalpha()} {seen}", f"n {right.isalpha()} {seen}", f"s {seen.isalpha()}",
-        f"c {_bucket(clean)}", f"c {min(2, _bucket(clean))} r {max(-6, min(6, ratio))}",
+def features(word: str, edits: Sequence[Edit], before: int, after: int, clean: int) -> list[str]:
+    """Of one or two edits of a word: the operations, their neighbours, the corpus counts before and after them, and how
+    often the word occurs in texts that were not scanned."""
+    ratio = max(-6, min(6, _bucket(after) - _bucket(before)))
+    read = min(2, _bucket(clean))
+    more = clean * 5 > before  # it occurs more in texts that were not scanned than by chance
+    out = [
+        "edit", f"{len(edits)} edits", f"b {_bucket(before)}", f"a {_bucket(after)}", f"r {ratio}", f"0 {before == 0}", f"c {_bucket(clean)}", f"c {read} r {ratio}",
+        f"more {more}", f"more {more} r {ratio}", f"up {after > before}", f"{len(edits)} r {ratio}", f"{len(edits)} n {min(8, len(word))}",
     ]
+    for at, seen, meant in edits:
+        left = word[at - 1] if at else "^"
+        right = word[at + len(seen)] if at + len(seen) < len(word) else "$"
+        kind = "replace" if len(seen) == len(meant) else "delete" if len(seen) > len(meant) else "insert"
+        out += [f"k {kind}", f"e {seen}>{meant}", f"k {kind} r {ratio}", f"e {seen}>{meant} 0 {before == 0}", f"l {left.isalpha()} {seen}", f"n {right.isalpha()} {seen}", f"s {seen.isalpha()}"]
+    return out
 
 
 def join_features(mark: str, joined: int, hyphenated: int) -> list[str]:
     """Of a line-join: the mark, and the corpus counts of the word joined and written with a hyphen."""
-    ratio = _bucket(joined) - _bucket(hyphenated)
-    return ["join", f"m {mark == '-'}", f"j {_bucket(joined)}", f"h {min(3, _bucket(hyphenated))}", f"jr {max(-4, min(4, ratio))}"]
+    ratio = max(-4, min(4, _bucket(joined) - _bucket(hyphenated)))
+    return [
+        "join", f"m {mark == '-'}", f"j {_bucket(joined)}", f"h {min(3, _bucket(hyphenated))}", f"jr {ratio}", f"j0 {joined == 0} {hyphenated == 0}", f"m {mark == '-'} jr {ratio}", f"less {joined < hyphenated}",
+    ]
 
 
 class Perceptron:
     """Averaged perceptron choosing between keep (score 0) and the candidate operations."""
 
-    def __init__(self):
-        self.w: dict[str, float] = defaultdict(float)
+    def __init__(self, weights: dict[str, float] | None = None):
+        self.w: dict[str, float] = defaultdict(float, weights or {})
         self.total: dict[str, float] = defaultdict(float)
         self.t = 0
 
@@ -260,20 +298,27 @@ def _misread(word: str, rng: random.Random) -> tuple[str, str, str, int] | None:
 
 
 def train_editor(counts: DataFrame, words: int = TRAIN_WORDS, epochs: int = EPOCHS) -> dict[str, float]:
-    """Weights of the editor, trained on at most ``words`` clean words of the corpus and misread copies of them.
+    """Weights of the editor, trained on at most ``words`` clean words of the corpus, misread copies of them, as many clean
+    tokens of other forms and as many numbers.
 
     Only the sample and the counts of its candidates are collected.
     """
     spark = counts.sparkSession
-    sample = counts.filter("clean >= 3 and length(word) >= 3 and word rlike '^[a-z][a-z-]*[a-z]$'").orderBy(F.xxhash64("word")).limit(words).collect()
+    plain = F.expr("length(word) >= 3 and word rlike '^[a-z][a-z-]*[a-z]$'")
+    sample = counts.filter("clean >= 3").filter(plain).orderBy(F.xxhash64("word")).limit(words).collect()
+    # other tokens are examples of what stays as it is
+    others = counts.filter("clean >= 3").filter(~plain).orderBy(F.xxhash64("word")).limit(words).collect()
     rng = random.Random(7)
-    cases: list[tuple[str, tuple[int, str, str] | None]] = []
+    cases: list[tuple[str, tuple[Edit, ...] | None]] = [(r["word"], None) for r in others]
     for r in sample:
         cases.append((r["word"], None))
         for _ in range(2):
             if m := _misread(r["word"], rng):
-                cases.append((m[0], (m[3], m[1], m[2])))
-    wanted = {w for w, _ in cases} | {c[3] for w, _ in cases for c in candidates(w)}
+                cases.append((m[0], ((m[3], m[1], m[2]),)))
+        if (m := _misread(r["word"], rng)) and (again := _misread(m[0][m[3] + len(m[1]) :], rng)):
+            at = m[3] + len(m[1])
+            cases.append((m[0][:at] + again[0], ((m[3], m[1], m[2]), (at + again[3], again[1], again[2]))))
+    wanted = {w for w, _ in cases} | {c[3] for w, _ in cases for c in candidates(w)} | {c[2] for w, _ in cases for c in double_candidates(w)}
     halves = {}
     for r in sample:
         w = r["word"]
@@ -283,60 +328,80 @@ def train_editor(counts: DataFrame, words: int = TRAIN_WORDS, epochs: int = EPOC
             k = rng.randrange(2, len(w) - 1)
             halves[w] = (w, f"{w[:k]}-{w[k:]}")
     wanted |= {x for pair in halves.values() for x in pair}
-    if not wanted:
-        return {}
-    asked = spark.createDataFrame(pd.DataFrame({"word": sorted(wanted)}))
-    rows = counts.join(asked, "word").collect()
-    known, clean = {r["word"]: r["n"] for r in rows}, {r["word"]: r["clean"] for r in rows}
-    examples = []
-    for w, gold in cases:
-        options, right = [], -1
-        for at, seen, meant, edited in candidates(w):
-            after = known.get(edited, 0)
-            if after <= known.get(w, 0):
-                continue
-            if gold is not None and right < 0 and (at, seen, meant) == gold:
-                right = len(options)
-            options.append(features(w, at, seen, meant, known.get(w, 0), after, clean.get(w, 0)))
-        if options and (gold is None or right >= 0):
-            examples.append((options, right))
-    for w, (joined, hyphenated) in halves.items():
-        marks = "-" if "-" in w else HYPHENS
-        examples.append(([join_features(rng.choice(marks), known.get(joined, 0), known.get(hyphenated, 0))], -1 if "-" in w else 0))
+    examples = number_examples(rng, words)
+    if wanted:
+        asked = spark.createDataFrame(pd.DataFrame({"word": sorted(wanted)}))
+        rows = counts.join(asked, "word").collect()
+        known, clean = {r["word"]: r["n"] for r in rows}, {r["word"]: r["clean"] for r in rows}
+        for w, gold in cases:
+            before, seen_clean = known.get(w, 0), clean.get(w, 0)
+            options, right = [], -1
+            for edits, edited in proposals(w, seen_clean):
+                if after := known.get(edited, 0):
+                    if gold is not None and right < 0 and edits == gold:
+                        right = len(options)
+                    options.append(features(w, edits, before, after, seen_clean))
+            if options and (gold is None or right >= 0):
+                examples.append((options, right))
+        for w, (joined, hyphenated) in halves.items():
+            for marks in ("-",) if "-" in w else ("-", HYPHENS[1:]):
+                gold = -1 if "-" in w else 0
+                examples.append(([join_features(rng.choice(marks), known.get(joined, 0), known.get(hyphenated, 0))], gold))
+                examples.append(([join_features(rng.choice(marks), 0, 0)], gold))  # as if the corpus had neither form
     return Perceptron().train(examples, epochs)
 
 
-def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for ix, text in zip(frame["doc_ix"], frame["text"], strict=True):
-            lines = text.split("\n")
-            gone = furniture(lines)
-            rows += [(ix, i + 1, d, None, None, 0, 0, 0) for i, d in gone.items()]
-            units, joins = body_units(lines, gone)
-            for u in units:
-                if misread_number(u.text, lines[u.line]):
-                    rows.append((ix, u.line + 1, "misread", None, None, 0, 0, 0))
-                elif any(c.isalpha() for c in u.text):
-                    rows.append((ix, u.line + 1, "word", u.text.lower(), None, u.cut, u.next + 1, 0))
-            rows += [(ix, i + 1, "join", joined, hyphenated, 0, 0, int(mark == "-")) for i, mark, joined, hyphenated in joins]
-        yield pd.DataFrame(rows, columns=["doc_ix", "line_no", "what", "word", "other", "cut", "next_no", "plain"])
+def proposals(word: str, clean: int) -> list[tuple[tuple[Edit, ...], str]]:
+    """The options of a word: single edits, and two at once for a word that no text shows that was not scanned."""
+    out = [((c[:3],), c[3]) for c in candidates(word)]
+    if not clean:
+        out += [((x, y), edited) for x, y, edited in double_candidates(word)]
+    return out
+
+
+def _units(weights: dict[str, float]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Perceptron(weights)
+        for frame in frames:
+            rows = []
+            for ix, text in zip(frame["doc_ix"], frame["text"], strict=True):
+                lines = text.split("\n")
+                gone = furniture(lines)
+                rows += [(ix, i + 1, d, None, None, 0, 0, 0) for i, d in gone.items()]
+                units, joins = body_units(lines, gone)
+                for u in units:
+                    if misread_number(model, u.text, lines[u.line]):
+                        rows.append((ix, u.line + 1, "misread", None, None, 0, 0, 0))
+                    elif any(c.isalpha() for c in u.text):
+                        rows.append((ix, u.line + 1, "word", u.text.lower(), None, u.cut, u.next + 1, 0))
+                rows += [(ix, i + 1, "join", joined, hyphenated, 0, 0, int(mark == "-")) for i, mark, joined, hyphenated in joins]
+            yield pd.DataFrame(rows, columns=["doc_ix", "line_no", "what", "word", "other", "cut", "next_no", "plain"])
+
+    return run
+
+
+def misread_number(model: Perceptron, text: str, line: str) -> bool:
+    """Whether the editor replaces letters of a token by digits."""
+    return _MIXED.match(text) is not None and model.best([number_features(text, line)]) == 0
 
 
 _UNITS = "doc_ix bigint, line_no bigint, what string, word string, other string, cut int, next_no bigint, plain int"
 
 
+_EDITS = "array<struct<at: int, seen: string, meant: string>>"
+
+
 def _propose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = [(w, *c) for w in frame["word"] for c in candidates(w)]
-        yield pd.DataFrame(rows, columns=["word", "at", "seen", "meant", "edited"])
+        rows = [(w, before, clean, [{"at": a, "seen": s, "meant": m} for a, s, m in edits], edited) for w, before, clean in zip(frame["word"], frame["before"], frame["clean"], strict=True) for edits, edited in proposals(w, clean)]
+        yield pd.DataFrame(rows, columns=["word", "before", "clean", "edits", "edited"])
 
 
 class Found:
     """What find_noise() gives: the defects, the misread words with their edits, and the decided line-joins."""
 
-    def __init__(self, defects: DataFrame, edits: DataFrame, joins: DataFrame, pages: DataFrame):
-        self.defects, self.edits, self.joins, self.pages = defects, edits, joins, pages
+    def __init__(self, weights: dict[str, float], defects: DataFrame, edits: DataFrame, joins: DataFrame, pages: DataFrame):
+        self.weights, self.defects, self.edits, self.joins, self.pages = weights, defects, edits, joins, pages
 
 
 def find_noise(doc_text: DataFrame, source: str = "ocr") -> Found:
@@ -348,26 +413,25 @@ def find_noise(doc_text: DataFrame, source: str = "ocr") -> Found:
     texts = cut(doc_text.select("doc_ix", "source", "text").dropna().distinct())
     counts = cut(word_counts(texts, source))
     weights = train_editor(counts)
+    model_of = lambda: Perceptron(weights)
     pages = spread(texts.filter((F.col("source") == source) & (F.length(F.trim("text")) > 0)).select("doc_ix", "text"), "doc_ix")
-    units = cut(pages.mapInPandas(_units, _UNITS))
+    units = cut(pages.mapInPandas(_units(weights), _UNITS))
 
     words = units.filter("what = 'word'")
-    proposed = spread(words.select("word"), "word").distinct().mapInPandas(_propose, "word string, at int, seen string, meant string, edited string")
+    known = spread(words.select("word"), "word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("before"), F.coalesce("clean", F.lit(0)).alias("clean"))
+    proposed = known.mapInPandas(_propose, f"word string, before bigint, clean bigint, edits {_EDITS}, edited string")
     after = counts.select(F.col("word").alias("edited"), F.col("n").alias("after"))
-    options = proposed.join(after, "edited").join(counts.withColumnRenamed("n", "before"), "word", "left")
-    # a misread word is rarer than what was printed, and hardly occurs where nothing was scanned
-    options = options.filter("after > coalesce(before, 0) and coalesce(clean, 0) * 5 <= coalesce(before, 0)")
-    options = options.groupBy("word").agg(F.coalesce(F.max("before"), F.lit(0)).alias("before"), F.coalesce(F.max("clean"), F.lit(0)).alias("clean"), F.sort_array(F.collect_list(F.struct("at", "seen", "meant", "after"))).alias("options"))
+    options = proposed.join(after, "edited").groupBy("word").agg(F.first("before").alias("before"), F.first("clean").alias("clean"), F.sort_array(F.collect_list(F.struct("edits", "after"))).alias("options"))
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Perceptron()
-        model.w = weights
+        model = model_of()
         for frame in frames:
             rows = []
             for word, before, clean, opts in zip(frame["word"], frame["before"], frame["clean"], frame["options"], strict=True):
-                k = model.best([features(word, o["at"], o["seen"], o["meant"], before, o["after"], clean) for o in opts])
+                edits = [[(e["at"], e["seen"], e["meant"]) for e in o["edits"]] for o in opts]
+                k = model.best([features(word, e, before, o["after"], clean) for e, o in zip(edits, opts, strict=True)])
                 if k >= 0:
-                    rows.append((word, opts[k]["at"], opts[k]["seen"], opts[k]["meant"]))
+                    rows += [(word, *e) for e in edits[k]]
             yield pd.DataFrame(rows, columns=["word", "at", "seen", "meant"])
 
     edits = cut(options.mapInPandas(choose, "word string, at int, seen string, meant string"))
@@ -381,19 +445,15 @@ def find_noise(doc_text: DataFrame, source: str = "ocr") -> Found:
     counted = breaks.join(one, "word", "left").join(two, "other", "left").fillna(0, ["joined", "hyphenated"])
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Perceptron()
-        model.w = weights
+        model = model_of()
         for frame in frames:
-            keep = [
-                j >= h and not (h and not j) and model.best([join_features("-" if p else "­", j, h)]) == 0 or (j == 0 and h == 0)
-                for p, j, h in zip(frame["plain"], frame["joined"], frame["hyphenated"], strict=True)
-            ]
+            keep = [model.best([join_features("-" if p else "­", j, h)]) == 0 for p, j, h in zip(frame["plain"], frame["joined"], frame["hyphenated"], strict=True)]
             yield frame.loc[keep, ["doc_ix", "line_no"]]
 
     joins = cut(counted.mapInPandas(decide, "doc_ix bigint, line_no bigint"))
     local = units.filter("what in ('header', 'page_number', 'misread')").select("doc_ix", "line_no", F.col("what").alias("defect"))
     defects = local.unionByName(misread).unionByName(joins.select("doc_ix", "line_no", F.lit("hyphen").alias("defect"))).distinct()
-    return Found(defects, edits.join(words.select("doc_ix", "word").distinct(), "word"), joins, pages)
+    return Found(weights, defects, edits.join(words.select("doc_ix", "word").distinct(), "word"), joins, pages)
 
 
 def scan_defects(doc_text: DataFrame) -> DataFrame:
@@ -401,15 +461,14 @@ def scan_defects(doc_text: DataFrame) -> DataFrame:
     return find_noise(doc_text).defects
 
 
-def _rebuild(text: str, edits: dict[str, tuple[int, str, str]], joins: set[int]) -> str:
+def _rebuild(model: Perceptron, text: str, edits: dict[str, list[Edit]], joins: set[int]) -> str:
     """The text as paragraphs: furniture removed, broken words joined, misread characters replaced."""
     lines = text.split("\n")
     gone = furniture(lines)
     units, _ = body_units(lines, gone)
     fixes: dict[int, list[tuple[int, str, str]]] = defaultdict(list)
     for u in units:
-        if e := edits.get(u.text.lower()):
-            at, seen, meant = e
+        for at, seen, meant in edits.get(u.text.lower(), ()):
             if meant and u.text[at : at + 1].isupper():
                 meant = meant.upper() if u.text.isupper() else meant[0].upper() + meant[1:]
             if u.cut < 0 or at + len(seen) <= u.cut:
@@ -417,7 +476,7 @@ def _rebuild(text: str, edits: dict[str, tuple[int, str, str]], joins: set[int])
             elif at >= u.cut:
                 begin = len(lines[u.next]) - len(lines[u.next].lstrip())
                 fixes[u.next].append((begin + at - u.cut, seen, meant))
-        elif misread_number(u.text, lines[u.line]):
+        if misread_number(model, u.text, lines[u.line]):
             fixes[u.line].append((u.start, u.text, _digits(u.text)))
     out: list[str] = []
     glue = ""
@@ -456,12 +515,18 @@ def repaired_texts(doc_text: DataFrame) -> DataFrame:
     edits = found.edits.groupBy("doc_ix").agg(F.collect_list(F.struct("word", "at", "seen", "meant")).alias("edits"))
     joins = found.joins.groupBy("doc_ix").agg(F.collect_list("line_no").alias("joins"))
 
+    weights = found.weights
+
+    def of_word(edits) -> dict[str, list[Edit]]:
+        out: dict[str, list[Edit]] = defaultdict(list)
+        for e in edits if edits is not None else ():
+            out[e["word"]].append((e["at"], e["seen"], e["meant"]))
+        return out
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Perceptron(weights)
         for frame in frames:
-            texts = [
-                _rebuild(t, {e["word"]: (e["at"], e["seen"], e["meant"]) for e in (es if es is not None else ())}, set(js if js is not None else ()))
-                for t, es, js in zip(frame["text"], frame["edits"], frame["joins"], strict=True)
-            ]
+            texts = [_rebuild(model, t, of_word(es), set(js if js is not None else ())) for t, es, js in zip(frame["text"], frame["edits"], frame["joins"], strict=True)]
             yield pd.DataFrame({"doc_ix": frame["doc_ix"], "text": texts})
 
     return found.pages.join(edits, "doc_ix", "left").join(joins, "doc_ix", "left").mapInPandas(run, "doc_ix bigint, text string")

@@ -257,7 +257,7 @@ def test_checksums():
 
 def test_scan_noise(spark):
     clean = "The warranty for rubber gaskets begins with the installation and ends after ninety months\nunder the pre-agreed terms the supplier keeps units available at all times for the carrier"
-    page = ["Acme Ltd | Terms of supply", "Acme Ltd", "TAX INVOICE", "", "the warrant-", "y for rubbcr gaskets begins with the pre-", "p. 1", "", "Acme Ltd | Terms of supply", "agreed terms for the c@rrier", "p. 2"]
+    page = ["Acme Ltd | Terms of supply", "Acme Ltd", "TAX INVOICE", "", "the warrant-", "y for rubbcr gaskets begins with the pre-", "p. 1", "", "Acme Ltd | Terms of supply", "agreed terms for the c@rricr", "p. 2"]
     rows = [(i, "text", clean) for i in range(8)] + [(50, "ocr", "\n".join(page))] * 2 + [(51, "ocr", None), (52, "ocr", " \n"), (53, "ocr", "")]
     df = spark.createDataFrame(rows, "doc_ix bigint, source string, text string")
     got = {tuple(r) for r in scan_noise.scan_defects(df).collect()}
@@ -267,6 +267,13 @@ def test_scan_noise(spark):
     assert scan_noise.scan_defects(df.limit(0)).count() == 0
 
 
+def test_headers_are_compared_whole():
+    a, b = "Acme Works of Northern Harbours and Inland Waterways Limited, Department of Long Distance Haulage, first", "Acme Works of Northern Harbours and Inland Waterways Limited, Department of Long Distance Haulage, other one"
+    assert not scan_noise._near(a, b) and scan_noise._near(a, a.replace("Works", "W0rks"))
+    page = [a + " | Terms of supply", "Acme Ltd", "TAX INVOICE", "", "the carrier", "", a + " | Terms of supply", "prose"]
+    assert {0: "header", 6: "header"}.items() <= scan_noise.furniture(page).items()
+
+
 def test_headers_of_even_pages():
     prose = ["the carrier returned 2", "Acme Works settled 948 cartons", ""]
     page = ["Acme Works Ltd - Terms of supply 1", "Acme Works Ltd", "TAX INVOICE", "", *prose, "2 Acme Works Ltd", *prose, "Acme Works Ltd - Terms of supply 3", *prose, "Acrne Works Ltd 4", *prose]
@@ -287,7 +294,7 @@ def test_editor_on_held_out_words():
     for w, gold in cases:
         options = make(w)
         if options and (gold is None or any(c[:3] == gold for c in options)):
-            examples.append(([scan_noise.features(w, a, s, t, words.get(w, 0), words[e], words.get(w, 0)) for a, s, t, e in options], -1 if gold is None else next(k for k, c in enumerate(options) if c[:3] == gold)))
+            examples.append(([scan_noise.features(w, [(a, s, t)], words.get(w, 0), words[e], words.get(w, 0)) for a, s, t, e in options], -1 if gold is None else next(k for k, c in enumerate(options) if c[:3] == gold)))
     half = len(examples) // 2
     model = scan_noise.Perceptron()
     model.w = model.train(examples[:half], 5)
