@@ -19,8 +19,10 @@ from docsift.operators.batches import Segregated
 from docsift.operators.classify import keyword_scores
 from docsift.operators.timestamps import instants, resolve_timestamps
 from docsift.plans import sql
+from docsift.plans.render import rendered_docs
+from docsift.plans.report import flat_documents
 from docsift.session import spread, table
-from docsift.sources.ingest import concat_pages, guard_upload, ingest, route_text
+from docsift.sources.ingest import concat_pages, guard_requests, guard_upload, ingest, route_text
 from docsift.sources.pdf import text_pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +66,19 @@ def _batches(spark: SparkSession, d: str) -> DataFrame:
     return _segregated(spark, d).batches().select("component", "batch_id", "documentNumber", "referenceNumber", "file_count")
 
 
+def _rendered_analyze(spark: SparkSession, d: str) -> DataFrame:
+    return analyze(rendered_docs(spark, d)).select("doc_ix", F.col("documentType").alias("document_type"), *(F.col(f"fields.{f}").alias(f) for f in CONFIG.field_names))
+
+
+def _rendered(spark: SparkSession, d: str) -> Segregated:
+    return Segregated(flat_documents(rendered_docs(spark, d), CONFIG), {f.name: f"fields.{f.name}" for f in CONFIG.batch_keys})
+
+
+def rendered_batches(spark: SparkSession, d: str) -> DataFrame:
+    """From texts to batches: render, classify, extract, link, group."""
+    return _rendered(spark, d).batches().select("component", "batch_id", "documentNumber", "referenceNumber", "file_count")
+
+
 def pixels(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of 64 values as images of 8 x 8 gray pixels."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("p", "v"))
@@ -77,7 +92,7 @@ def colors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summary(df: DataFrame) -> DataFrame:
-    named = {"number": F.col("doc_fields.document_number"), "company": F.col("doc_fields.company_name"), "amount": F.col("doc_fields.amount")}
+    named = {n: F.col(f"doc_fields.{c}") for n, c in {"number": "document_number", "reference": "reference_number", "company": "company_name", "address": "address", "date": "doc_date", "amount": "amount"}.items()}
     return df.select("doc_ix", T.fields_summary(named).alias("summary"))
 
 
@@ -86,6 +101,19 @@ def _guard(spark: SparkSession, d: str) -> DataFrame:
     return guard_upload(files).select("doc_id", "accepted", "problem")
 
 
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of a vendor as one request: some by media type, some by name, some no PDF, some too large."""
+    t = table(spark, d, "documents")
+    name = F.concat(F.lit("f"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".txt"))
+    media = F.when((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 7 != 0), "application/pdf").otherwise("text/plain")
+    return guard_requests(t.select(F.col("vendor_key").alias("request"), name.alias("name"), media.alias("media"), (F.coalesce("n_chars", F.lit(0)) * 10_000).alias("size")))
+
+
+def _isolation(spark: SparkSession, d: str) -> DataFrame:
+    docs, errors = ingest(buffers(spark, d))
+    return docs.select(F.col("source").alias("outcome")).unionByName(errors.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def buffers(spark: SparkSession, d: str) -> DataFrame:
     """``(doc_ix, file_name, content)``: the texts of ``doc_text`` as PDF files, and a broken file for each row of
     ``doc_errors``: encrypted, no PDF, or cut off before its text ends."""
@@ -143,6 +171,10 @@ def queries() -> dict[str, Query]:
         "linkage_edges": lambda s, d: _segregated(s, d).edges(),
         "batch_components": lambda s, d: _segregated(s, d).labels,
         "batches": _batches,
+        "batch_members": lambda s, d: _segregated(s, d).members(),
+        "rendered_analyze": _rendered_analyze,
+        "rendered_batches": rendered_batches,
+        "rendered_unbatched": lambda s, d: _rendered(s, d).unbatched().select("key", "doc_ix", "document_type"),
         "batch_key_values": lambda s, d: _segregated(s, d).key_values(),
         "batch_conflicts": lambda s, d: _segregated(s, d).conflicts(),
         "batch_report_map": lambda s, d: _segregated(s, d).report_map(),
@@ -157,7 +189,9 @@ def queries() -> dict[str, Query]:
         "upload_dedup": _dedup,
         "type_hue": lambda s, d: documents_to_batch(s, d).select("document_type").distinct().select("document_type", T.type_hue(F.col("document_type")).alias("hue")),
         "fields_summary": lambda s, d: _summary(documents_to_batch(s, d)),
-        "error_isolation": lambda s, d: table(s, d, "doc_errors").groupBy("reason").agg(F.count("*").alias("n")),
+        "upload_requests": _requests,
+        "human_bytes": lambda s, d: table(s, d, "documents").select("doc_id", T.human_bytes(F.coalesce("n_chars", F.lit(0)) * 1_000).alias("size")),
+        "error_isolation": _isolation,
         "ingest_split": _ingest_split,
         "p2_found": lambda s, d: instants(table(s, d, "analyzed"), table(s, d, "intake_sites")),
         "p2_resolved": lambda s, d: resolve_timestamps(table(s, d, "analyzed"), table(s, d, "intake_sites")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from docsift.config import Config, default
 from docsift.operators.analyze import analyze
 from docsift.operators.batches import Segregated
+from docsift.session import cut, discard
 from docsift.sources.ingest import ImageEngine, OcrEngine, PageRasterizer, check_upload, ingest, read_buffers, read_directory
 
 
@@ -24,31 +26,42 @@ def flat_documents(docs: DataFrame, config: Config) -> DataFrame:
 def report_json(spark: SparkSession, docs: DataFrame, errors: DataFrame, config: Config | None = None, source: str | None = None) -> str:
     """The report of ``docs (doc_ix, file_name, source, text)`` and ``errors (file_name, reason)`` as JSON with two spaces.
 
-    It is one document for people, so its rows come to the driver.
+    It is one document for people, so its rows come to the driver, once each; write_report() is for more.
     """
     config = config or default()
     began = time.time()
-    flat = flat_documents(docs, config).cache()
+    flat = cut(flat_documents(docs, config))
     seg = Segregated(flat, {f.name: f"fields.{f.name}" for f in config.batch_keys})
-    members = seg.placed.filter("size >= 2").orderBy("doc_ix").collect()
+    of: dict[int, list[dict]] = defaultdict(list)
+    for m in seg.members().orderBy("doc_ix").toLocalIterator():
+        of[m["component"]].append({"fileName": m["file_name"], "documentType": m["document_type"], "source": m["source"]})
     batches: dict[str, dict] = {}
-    for b in seg.batches().orderBy("component").collect():
-        own = [m for m in members if m["component"] == b["component"]]
-        batches[b["batch_id"]] = {k: b[k] for k in seg.keys if b[k]} | {
-            "fileCount": b["file_count"], "documents": [{"fileName": m["file_name"], "documentType": m["document_type"], "source": m["source"]} for m in own]
-        }
+    for b in seg.batches().orderBy("component").toLocalIterator():
+        batches[b["batch_id"]] = {k: b[k] for k in seg.keys if b[k]} | {"fileCount": b["file_count"], "documents": of[b["component"]]}
     unbatched: dict[str, list] = {}
-    for u in seg.unbatched().join(flat.select("doc_ix", "fields"), "doc_ix").orderBy("doc_ix").collect():
+    for u in seg.unbatched().join(flat.select("doc_ix", "fields"), "doc_ix").orderBy("doc_ix").toLocalIterator():
         unbatched.setdefault(u["key"], []).append({"fileName": u["file_name"], "documentType": u["document_type"], "source": u["source"], "fields": u["fields"].asDict()})
     s = seg.summary(errors).first()
     figures = {"totalPdfs": s["total_pdfs"], "analyzed": s["analyzed"], "ocrUsed": s["ocr_used"], "failed": s["failed"], "batches": len(batches), "unbatchedGroups": len(unbatched)}
     head = {"generatedAt": datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")}
     head |= {"sourceDirectory": source} if source is not None else {"durationMs": round((time.time() - began) * 1000)}
     failed = [{"fileName": e["file_name"], "reason": e["reason"]} for e in errors.select("file_name", "reason").collect()]
-    flat.unpersist()
+    discard(flat)
     return json.dumps(head | {"summary": figures, "batches": batches, "unbatched": unbatched, "errors": failed}, indent=2, ensure_ascii=False)
 
 
+def write_report(docs: DataFrame, errors: DataFrame, folder: str, config: Config | None = None) -> None:
+    """The report of ``docs`` and ``errors`` as folders of JSON lines below ``folder``, written by the tasks: ``summary``,
+    ``batches`` (one row each), ``members`` (one row per document of a batch), ``unbatched`` and ``errors``."""
+    config = config or default()
+    flat = cut(flat_documents(docs, config))
+    seg = Segregated(flat, {f.name: f"fields.{f.name}" for f in config.batch_keys})
+    parts = {"summary": seg.summary(errors), "batches": seg.batches(), "members": seg.members(), "unbatched": seg.unbatched().join(flat.select("doc_ix", "fields"), "doc_ix"), "errors": errors}
+    for name, part in parts.items():
+        part.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+    discard(flat)
+
+
 def run_directory(spark: SparkSession, folder: str, out: str, config: Config | None = None) -> str:
     """Reads a folder of PDF files and writes its report to ``out``."""
     docs, errors = ingest(read_directory(spark, folder))

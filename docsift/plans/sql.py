@@ -138,6 +138,13 @@ otsu AS (SELECT image_id, CASE WHEN b > 0 THEN level ELSE 0 END::INT AS threshol
 """
 
 
+# The closed form of what the documents rendered from an order hold (docsift.plans.render).
+ORDERS = """
+o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%d/%m/%Y') AS day, format('{:,.2f}', o_totalprice) AS price, c_name || ' Pvt Ltd' AS buyer,
+    o_custkey || ' Market Street, ' || n_name || ' ' || (400000 + o_custkey) AS place FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+"""
+
+
 def statements(config: Config) -> dict[str, str]:
     fields = {f.name: f for f in config.fields}
     merge = lambda a, b: f"SELECT doc_id, coalesce(a.value, b.value) AS value FROM ({a}) a JOIN ({b}) b USING (doc_id)"
@@ -174,6 +181,16 @@ def statements(config: Config) -> dict[str, str]:
         "linkage_edges": batch("SELECT field, value, hub, doc_ix FROM stars"),
         "batch_components": batch("SELECT doc_ix, component FROM labels"),
         "batches": batch("SELECT component, batch_id, documentNumber, referenceNumber, file_count FROM batched"),
+        "batch_members": batch("SELECT component, batch_id, doc_ix, file_name, document_type, source FROM placed JOIN batched USING (component)"),
+        "rendered_analyze": f"""WITH {ORDERS}
+            SELECT 4 * k AS doc_ix, 'Purchase Order' AS document_type, NULL::VARCHAR AS "documentNumber", 'PO-' || k AS "referenceNumber", buyer AS "companyName", place AS address, day AS date, NULL::VARCHAR AS amount FROM o WHERE k % 5 <> 0
+            UNION ALL SELECT 4 * k + 1, 'Invoice', 'INV-' || k, 'PO-' || k, buyer, place, day, price FROM o
+            UNION ALL SELECT 4 * k + 2, 'Receipt', 'INV-' || k, NULL, 'Zenith Retail LLP', NULL, day, price FROM o WHERE k % 3 = 0
+            UNION ALL SELECT 4 * k + 3, 'Unknown', NULL, NULL, NULL, NULL, NULL, NULL FROM o WHERE k % 10 = 0""",
+        "rendered_batches": """SELECT CASE WHEN o_orderkey % 5 <> 0 THEN 4 * o_orderkey ELSE 4 * o_orderkey + 1 END AS component, 'BATCH-INV-' || o_orderkey AS batch_id, 'INV-' || o_orderkey AS "documentNumber", 'PO-' || o_orderkey AS "referenceNumber",
+            1 + (o_orderkey % 5 <> 0)::BIGINT + (o_orderkey % 3 = 0)::BIGINT AS file_count FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 3 = 0""",
+        "rendered_unbatched": """SELECT 'documentNumber:INV-' || o_orderkey AS key, 4 * o_orderkey + 1 AS doc_ix, 'Invoice' AS document_type FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0
+            UNION ALL SELECT 'UNIDENTIFIED', 4 * o_orderkey + 3, 'Unknown' FROM orders WHERE o_orderkey % 10 = 0""",
         "batch_key_values": batch("SELECT component, file_count, documentNumber, referenceNumber FROM kept"),
         "batch_conflicts": batch("""SELECT component, 'documentNumber' AS field, documentNumber AS kept, dn AS other, doc_ix FROM placed JOIN kept USING (component) WHERE dn <> documentNumber
             UNION ALL SELECT component, 'referenceNumber', referenceNumber, rn, doc_ix FROM placed JOIN kept USING (component) WHERE rn <> referenceNumber"""),
@@ -189,6 +206,11 @@ def statements(config: Config) -> dict[str, str]:
         "upload_guard": "SELECT doc_id, doc_id % 3 = 0 AND coalesce(length(text), 0) * 40000 <= 26214400 AS accepted, CASE WHEN doc_id % 3 <> 0 THEN 'type' WHEN length(text) * 40000 > 26214400 THEN 'size' END AS problem FROM documents",
         "upload_dedup": "SELECT file_name, length(file_name)::INT AS size, min(doc_ix) AS doc_ix FROM analyzed GROUP BY file_name",
         "type_hue": """SELECT document_type, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(document_type, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 360 AS hue FROM (SELECT DISTINCT document_type FROM analyzed)""",
-        "fields_summary": "SELECT DISTINCT doc_ix, concat_ws(' · ', 'number: ' || doc_fields.document_number, 'company: ' || doc_fields.company_name, 'amount: ' || doc_fields.amount) AS summary FROM analyzed",
-        "error_isolation": "SELECT reason, count(*) AS n FROM doc_errors GROUP BY reason",
+        "fields_summary": "SELECT DISTINCT doc_ix, concat_ws(' · ', 'number: ' || doc_fields.document_number, 'reference: ' || doc_fields.reference_number, 'company: ' || doc_fields.company_name, 'address: ' || doc_fields.address, 'date: ' || doc_fields.doc_date, 'amount: ' || doc_fields.amount) AS summary FROM analyzed",
+        "upload_requests": """SELECT request, files, problem IS NULL AS accepted, problem FROM (SELECT vendor_key AS request, count(*) AS files, CASE WHEN count(*) > 200 THEN 'count' WHEN count(*) FILTER (doc_id % 2 = 1 AND doc_id % 7 = 0) > 0 THEN 'type'
+            WHEN max(coalesce(n_chars, 0)) * 10000 > 26214400 THEN 'size' END AS problem FROM documents GROUP BY vendor_key)""",
+        "human_bytes": """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f} KB', floor(n / 1024 * 10 + 0.5) / 10) ELSE format('{:.1f} MB', floor(n / 1048576 * 10 + 0.5) / 10) END AS size FROM (SELECT doc_id, coalesce(n_chars, 0) * 1000 AS n FROM documents)""",
+        "error_isolation": """SELECT outcome, count(*) AS n FROM (
+            SELECT CASE WHEN length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 25 THEN 'text' ELSE 'no engine for recognition is registered' END AS outcome FROM (SELECT DISTINCT doc_ix, file_name, text FROM doc_text WHERE text IS NOT NULL)
+            UNION ALL SELECT CASE WHEN reason IN ('Password required', 'Invalid PDF structure') THEN reason ELSE 'no engine for recognition is registered' END FROM doc_errors) GROUP BY outcome""",
     }

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more rows than this is joined apart from the others, by broadcast of its one lookup row.
@@ -91,6 +91,15 @@ def discard(*tables: DataFrame | None) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with their global position, from 0, in the order of ``keys``; only a count per partition is gathered."""
+    ordered = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
+    sizes = ordered.groupBy("_pid").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_pid", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return ordered.join(F.broadcast(starts), "_pid").withColumn(name, F.col("_mono") + F.col("_shift")).drop("_pid", "_mono", "_shift")
+
+
 def hot_keys(rows: DataFrame, on: Sequence[str], n: int, hot: int = HOT) -> DataFrame | None:
     """The keys of ``rows``, which are ``n``, that join_hot() joins apart; None where no key can be or is hot."""
     if n <= hot:

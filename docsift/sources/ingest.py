@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions.text import alnum_count
 from docsift.operators.images import preprocess
+from docsift.session import cut, numbered
 from docsift.sources.pdf import embedded_text
 
 #: Fewer letters and digits than this in the embedded text mean recognition; limits of an upload.
@@ -44,10 +45,15 @@ def read_directory(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_ix, file_name, content)`` of the files ``*.pdf`` (any case) in ``folder`` itself, numbered by name."""
     files = spark.read.format("binaryFile").load(folder).withColumn("file_name", F.regexp_extract("path", r"([^/]+)\z", 1))
     pdfs = files.filter(F.col("file_name").rlike(r"(?i)^.+\.pdf\z"))
-    # names only: the contents don't pass the sort
-    names = [r["file_name"] for r in pdfs.select("file_name").orderBy("file_name").toLocalIterator()]
-    order = spark.createDataFrame(pd.DataFrame({"doc_ix": range(len(names)), "file_name": pd.Series(names, dtype="object")}), "doc_ix bigint, file_name string")
-    return order.join(pdfs.select("file_name", "content"), "file_name").select("doc_ix", "file_name", "content")
+    # the contents don't pass the sort, and the names don't pass the driver
+    order = numbered(pdfs.select("path", "file_name"), ["file_name", "path"], "doc_ix")
+    return order.join(pdfs.select("path", "content"), "path").select("doc_ix", "file_name", "content")
+
+
+def read_pdf(path: str) -> str:
+    """The text layer of one PDF file."""
+    with open(path, "rb") as f:
+        return embedded_text(f.read())
 
 
 def read_buffers(spark: SparkSession, files: Sequence[tuple[str, bytes]]) -> DataFrame:
@@ -61,6 +67,20 @@ def guard_upload(files: DataFrame) -> DataFrame:
     return files.withColumn("problem", problem).withColumn("accepted", F.col("problem").isNull())
 
 
+def guard_requests(files: DataFrame) -> DataFrame:
+    """One row per request of ``files (request, name, media, size)``: ``request, files, accepted, problem``.
+
+    One file that breaks a limit, or more than MAX_FILES of them, refuse the whole request; of several problems the number
+    of files is named first, then a type, then a size. A file is a PDF by its media type or by its name. A null size or
+    name breaks its limit; a null request is a request.
+    """
+    pdf = F.coalesce((F.col("media") == "application/pdf") | F.col("name").rlike(r"(?i)\.pdf\z"), F.lit(False))
+    small = F.coalesce(F.col("size") <= MAX_BYTES, F.lit(False))
+    per = files.groupBy("request").agg(F.count("*").alias("files"), F.count_if(~pdf).alias("others"), F.count_if(~small).alias("large"))
+    problem = F.when(F.col("files") > MAX_FILES, "count").when(F.col("others") > 0, "type").when(F.col("large") > 0, "size")
+    return per.select("request", "files", problem.isNull().alias("accepted"), problem.alias("problem"))
+
+
 def check_upload(files: Sequence[tuple[str, bytes, str]]) -> None:
     """Raises ValueError for an upload ``(name, content, media type)`` that breaks a limit: all of it is refused."""
     if not files:
@@ -96,7 +116,7 @@ def ingest(
 
     ``docs`` has ``doc_ix, file_name, source, text``, ``errors`` has ``doc_ix, file_name, reason``. A file that fails, also
     for lack of an engine, becomes an error and stops no other. An engine is made once per Python worker, and only for
-    files whose embedded text is too short. With a rasterizer each page is drawn, preprocessed and given to the
+    files whose embedded text is too short; what came out is written once, so no file is read twice. With a rasterizer each page is drawn, preprocessed and given to the
     ImageEngine; without one the OcrEngine gets the file.
     """
 
@@ -129,5 +149,5 @@ def ingest(
                 if held is not None and hasattr(held, "close"):
                     held.close()
 
-    done = files.mapInPandas(run, "doc_ix bigint, file_name string, source string, text string, reason string")
+    done = cut(files.mapInPandas(run, "doc_ix bigint, file_name string, source string, text string, reason string"))
     return done.filter("reason is null").drop("reason"), done.filter("reason is not null").select("doc_ix", "file_name", "reason")

@@ -1,4 +1,6 @@
+import json
 import os
+import random
 import zlib
 
 import duckdb
@@ -16,18 +18,33 @@ from docsift.operators.components import components
 from docsift.operators.extract import EXTRACTORS, run_extractor
 from docsift.operators.timestamps import instants, readings, resolve_timestamps
 from docsift.plans import catalogue
-from docsift.plans.report import classify_buffers, config_frame, report_json
-from docsift.sources.ingest import check_upload, ingest, read_buffers, read_directory, route_text
+from docsift.plans.report import classify_buffers, config_frame, report_json, write_report
+from docsift.session import hot_keys, join_hot
+from docsift.sources.ingest import check_upload, guard_requests, ingest, read_buffers, read_directory, route_text
 from docsift.sources.pdf import embedded_text
 
 DATA = "/root/testdata/sf0.001"
 FIELDS = {f.name: f for f in default().fields}
+# The seven sample documents.
+ACME = "Acme Exports Pvt Ltd\n12 Industrial Estate, Andheri East, Mumbai 400069\n"
 GOLDEN = [
-    (0, "invoice_001.pdf", "text", "Acme Exports Pvt Ltd\n12 Industrial Estate, Andheri East\nMumbai 400069\nTAX INVOICE\nInvoice No: INV-2024-001\nInvoice Date: 10/05/2024\nPO Ref: PO-7788\nGrand Total: 12,500.00"),
-    (1, "invoice_orphan.pdf", "text", "Nowhere Trading Co\n9 Nowhere Lane, Nashik 422001\nInvoice No: INV-2024-999\nDate: 22/06/2024\nTotal: 3,300.00"),
-    (2, "po_7788.pdf", "text", "Acme Exports Pvt Ltd\nPURCHASE ORDER\nPO No: PO-7788\nOrder Date: 01/05/2024\nVendor: Global Traders Inc"),
-    (3, "random_note.pdf", "text", "Meeting notes\nnothing else"),
-    (4, "receipt_001.pdf", "ocr", "Zenith Retail LLP\nCASH RECEIPT\nReceipt No: RCPT-3341\nAmount Paid: 990.00"),
+    (0, "invoice_001.pdf", "text", ACME + "GSTIN: 27ABCDE1234F1Z5\n\nTAX INVOICE\nInvoice No.: INV-2024-001\nInvoice Date: 10/05/2024\nPO Ref: PO-7788\nBill To: Global Traders Inc\nSubtotal: 11,000.00\nGrand Total: 12,500.00"),
+    (1, "invoice_orphan.pdf", "text", "Nowhere Trading Co\n9 Nowhere Lane, Nashik 422001\n\nCOMMERCIAL INVOICE\nInvoice Number: INV-2024-999\nInvoice Date: 22/06/2024\nGrand Total: 3,300.00"),
+    (2, "po_7788.pdf", "text", ACME + "\nPURCHASE ORDER\nPO No: PO-7788\nOrder Date: 01/05/2024\nVendor: Global Traders Inc"),
+    (3, "random_note.pdf", "text", "Meeting notes\nDiscussed quarterly planning and staffing."),
+    (4, "receipt_001.pdf", "text", "Zenith Retail LLP\n4 Market Street, Pune 411001\n\nCASH RECEIPT\nReceipt No: RCPT-3341\nDate: 20/06/2024\nPayment Received\nAmount Paid: 990.00"),
+    (5, "receipt_scanned.pdf", "ocr", "Sunrise Stores Pvt Ltd\nCASH RECEIPT\nReceipt No: RCPT-7788\nDate: 25/06/2024\nAmount Paid: 1,499.00"),
+    (6, "transaction_001.pdf", "text", "HDFC Bank Ltd\nACCOUNT STATEMENT\nTransaction ID: TXN-88213\nTransaction Date: 15/06/2024\nDebit: 450.00"),
+]
+PLACE = "12 Industrial Estate, Andheri East, Mumbai 400069"
+EXPECTED = [
+    ("Invoice", "INV-2024-001", "PO-7788", "Acme Exports Pvt Ltd", PLACE, "10/05/2024", "12,500.00"),
+    ("Invoice", "INV-2024-999", None, "Nowhere Trading Co", "9 Nowhere Lane, Nashik 422001", "22/06/2024", "3,300.00"),
+    ("Purchase Order", None, "PO-7788", "Acme Exports Pvt Ltd", PLACE, "01/05/2024", None),
+    ("Unknown", None, None, None, None, None, None),
+    ("Receipt", "RCPT-3341", None, "Zenith Retail LLP", "4 Market Street, Pune 411001", "20/06/2024", "990.00"),
+    ("Receipt", "RCPT-7788", None, "Sunrise Stores Pvt Ltd", None, "25/06/2024", "1,499.00"),
+    ("Transaction Record", "TXN-88213", None, "HDFC Bank Ltd", None, "15/06/2024", "450.00"),
 ]
 
 
@@ -53,16 +70,70 @@ def test_extractor_edges(spark, field, text, expected):
 
 def test_analysis_and_report(spark):
     docs = spark.createDataFrame(GOLDEN, "doc_ix bigint, file_name string, source string, text string")
-    got = {r["doc_ix"]: r for r in analyze(docs).collect()}
-    assert [got[i]["documentType"] for i in range(5)] == ["Invoice", "Invoice", "Purchase Order", "Unknown", "Receipt"]
-    assert got[0]["fields"]["referenceNumber"] == "PO-7788" and got[2]["fields"]["amount"] is None
-    assert got[3]["fields"].asDict() == dict.fromkeys(default().field_names)
-    errors = spark.createDataFrame([("bad.pdf", "Invalid PDF structure")], "file_name string, reason string")
-    import json
-
-    report = json.loads(report_json(spark, docs, errors))
-    assert report["summary"] == {"totalPdfs": 6, "analyzed": 5, "ocrUsed": 1, "failed": 1, "batches": 1, "unbatchedGroups": 3}
-    assert report["batches"]["BATCH-INV-2024-001"]["fileCount"] == 2 and "UNIDENTIFIED" in report["unbatched"]
+    got = [(r["documentType"], *(r["fields"][f] for f in ("documentNumber", "referenceNumber", "companyName", "address", "date", "amount"))) for r in analyze(docs).orderBy("doc_ix").collect()]
+    assert got == EXPECTED
+    report = json.loads(report_json(spark, docs, spark.createDataFrame([], "file_name string, reason string")))
+    assert report["summary"] == {"totalPdfs": 7, "analyzed": 7, "ocrUsed": 1, "failed": 0, "batches": 1, "unbatchedGroups": 5}
+    files = [{"fileName": "invoice_001.pdf", "documentType": "Invoice", "source": "text"}, {"fileName": "po_7788.pdf", "documentType": "Purchase Order", "source": "text"}]
+    assert report["batches"] == {"BATCH-INV-2024-001": {"documentNumber": "INV-2024-001", "referenceNumber": "PO-7788", "fileCount": 2, "documents": files}}
+    assert list(report["unbatched"]) == ["documentNumber:INV-2024-999", "UNIDENTIFIED", "documentNumber:RCPT-3341", "documentNumber:RCPT-7788", "documentNumber:TXN-88213"]
+
+
+def test_written_report(spark, tmp_path):
+    docs = spark.createDataFrame(GOLDEN, "doc_ix bigint, file_name string, source string, text string")
+    write_report(docs, spark.createDataFrame([("bad.pdf", "Invalid PDF structure")], "file_name string, reason string"), str(tmp_path / "report"))
+    rows = {n: spark.read.json(str(tmp_path / "report" / n)).collect() for n in ("summary", "batches", "members", "unbatched", "errors")}
+    assert rows["summary"][0]["total_pdfs"] == 8 and [r["batch_id"] for r in rows["batches"]] == ["BATCH-INV-2024-001"] and len(rows["unbatched"]) == 5 and len(rows["errors"]) == 1
+    assert sorted(r["file_name"] for r in rows["members"]) == ["invoice_001.pdf", "po_7788.pdf"]
+
+
+def test_a_file_is_read_once(spark, tmp_path):
+    from docsift.sources.pdf import text_pdf
+
+    seen = tmp_path / "calls"
+
+    class Counting:
+        def pages(self, content):
+            with seen.open("a") as f:
+                f.write("x")
+            return ["a page with more than enough letters to read"]
+
+    docs, errors = ingest(read_buffers(spark, [("x.pdf", text_pdf("short"))]), Counting)
+    assert json.loads(report_json(spark, docs, errors))["summary"]["ocrUsed"] == 1 and docs.count() == 1 and errors.count() == 0
+    assert seen.read_text() == "x"
+
+
+def test_requests_are_refused_whole(spark):
+    rows = [("ok", "a.PDF", "", 5), ("ok", "b.txt", "application/pdf", 5), ("type", "a.pdf", "", 5), ("type", "b.txt", "text/plain", 5), ("size", "a.pdf", "", 25 * 2**20 + 1), (None, None, None, None), *[("many", f"{i}.pdf", "", 1) for i in range(201)]]
+    got = {r["request"]: (r["files"], r["accepted"], r["problem"]) for r in guard_requests(spark.createDataFrame(rows, "request string, name string, media string, size bigint")).collect()}
+    assert got == {"ok": (2, True, None), "type": (2, False, "type"), "size": (1, False, "size"), None: (1, False, "type"), "many": (201, False, "count")}
+
+
+@pytest.mark.parametrize(("hot", "tail"), [(200_000, 0), (30, 0), (30, 50), (200_000, 100_000)])
+def test_components_with_hot_values(spark, hot, tail):
+    rng = random.Random(hot)
+    keys = [(i, "a", f"v{i // 2}") for i in range(120)] + [(i, "b", f"w{(i + 1) // 2}") for i in range(60)] + [(1000 + i, "a", "blanket") for i in range(300)] + [(i, "b", f"x{rng.randrange(40)}") for i in range(2000, 2050)]
+    docs = spark.createDataFrame([(i,) for i in sorted({k[0] for k in keys} | {9999})], "doc_ix bigint")
+    got = dict(map(tuple, components(docs, spark.createDataFrame(keys + keys[:5], "doc_ix bigint, field string, value string"), hot=hot, tail=tail).collect()))
+    low, moved = {i: i for i in got}, True
+    while moved:
+        moved = False
+        least: dict = {}
+        for i, f, v in keys:
+            least[f, v] = min(least.get((f, v), i), low[i])
+        for i, f, v in keys:
+            if least[f, v] < low[i]:
+                low[i], moved = least[f, v], True
+    assert got == low
+
+
+def test_joining_hot_keys_apart_changes_nothing(spark):
+    rows = spark.createDataFrame([("h" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, 7)], "k string, i int")
+    lookup = spark.createDataFrame([("h", 1), ("k3", 2), ("other", 3)], "k string, v int")
+    hot = hot_keys(rows, ["k"], 301, hot=50)
+    assert [r["k"] for r in hot.collect()] == ["h"]
+    for how in ("left", "inner"):
+        assert sorted(map(repr, join_hot(rows, lookup, ["k"], hot, how).collect())) == sorted(map(repr, rows.join(lookup, ["k"], how).collect()))
 
 
 def test_null_and_empty_texts(spark):
