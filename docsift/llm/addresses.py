@@ -17,12 +17,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.common import cells, classes_within, pairs_within
 from docsift.llm.groups import connected_groups
-from docsift.session import cut, hot_keys, join_hot, measured, spread
+from docsift.session import cut, hot_keys, join_hot, measured, numbered, spread
 
 # Kinds of streets and their abbreviations; words before a unit; words before a landmark.
 STREETS = {
@@ -206,15 +206,6 @@ WINDOW = 12
 BLOCK = 5_000
 
 
-def _numbered(rows: DataFrame, keys: list[str], name: str = "pos") -> DataFrame:
-    """``rows`` with their global position in the order of ``keys``; only a count per partition is collected."""
-    ordered = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id()))
-    sizes = ordered.groupBy("pid").agg(F.count("*").alias("n"), F.min("mono").alias("first"))
-    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = sizes.select("pid", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return ordered.join(F.broadcast(starts), "pid").withColumn(name, F.col("mono") + F.col("shift")).drop("pid", "mono", "shift")
-
-
 def _compare(window: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("pos")
@@ -306,10 +297,10 @@ def place_classes(addresses: DataFrame, towns: DataFrame, window: int = WINDOW)
     texts = spread(addresses.filter(F.length(F.trim("text")) > 0).select("text"), "text").distinct()
     read, texts_read = measured(read_addresses(texts, "text", towns), n=F.count("*"))
     orders = list(ORDERS.values())
-    first, got = measured(_numbered(read.select(*PARTS).distinct(), orders[0], "rec"), n=F.count("*"))
+    first, got = measured(numbered(read.select(*PARTS).distinct(), orders[0], "rec"), n=F.count("*"))
     matches = neighbourhood_pass(first.withColumn("pos", F.col("rec")), window).unionByName(beyond_windows(first, got["n"], window))
     for keys in orders[1:]:
-        matches = matches.unionByName(neighbourhood_pass(_numbered(first.withColumn("street_back", F.reverse("street")), keys), window))
+        matches = matches.unionByName(neighbourhood_pass(numbered(first.withColumn("street_back", F.reverse("street")), keys, "pos"), window))
     groups = connected_groups(matches, "a", "b", "rec", "place")
     placed = first.join(groups, "rec", "left").select(*PARTS, F.coalesce("place", "rec").alias("place"))
     return join_hot(read, placed, PARTS, hot_keys(read, PARTS, texts_read["n"])).select("text", "place")

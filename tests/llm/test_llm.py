@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docsift.llm import addresses, groups, lookalikes, mixing, name_parts, names, personal, queries, scan_noise, tokens
 from docsift.llm.common import _in_blocks, _rows, cells, classes_within, pairs_within
+from docsift.session import numbered
 
 TOWNS = "city_name string, state_code string, country_name string, code_prefix string, code_length int"
 
@@ -170,7 +171,7 @@ def test_addresses_without_kind_or_number(spark):
 def test_neighbourhood_blocks_lose_no_pair(spark):
     recs = [(i, "", str(i // 3), "abcdefghi" + "xyz"[i % 3], "street", "harwick", "") for i in range(90)]
     df = spark.createDataFrame(recs, RECORDS).repartition(5)
-    placed = addresses._numbered(df, ["town", "house", "street"])
+    placed = numbered(df, ["town", "house", "street"], "pos")
     got = {tuple(sorted(r)) for r in addresses.neighbourhood_pass(placed, window=4, block=8).collect()}
     assert got == {(3 * k + i, 3 * k + j) for k in range(30) for i in range(3) for j in range(i + 1, 3)}
 
