@@ -77,4 +77,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries it can express on whole tables: the smallest document that reaches each one."""
+    return {
+        "p6_found": """WITH RECURSIVE accepted AS (SELECT left_ix AS a, right_ix AS b FROM match_pairs WHERE is_match AND left_ix IS NOT NULL AND right_ix IS NOT NULL),
+            links AS (SELECT a, b FROM accepted UNION SELECT b, a FROM accepted),
+            reach AS (SELECT DISTINCT a AS doc_ix, a AS low FROM links UNION SELECT b, low FROM reach JOIN links ON doc_ix = a WHERE low < b)
+            SELECT doc_ix, min(low) AS group_ix FROM reach GROUP BY doc_ix""",
+    }
