@@ -8,9 +8,9 @@ cap, and a source's number of emitted copies differs from its expectation by les
 Within a source the order is by size, so the sample is stratified by it and the tokens drawn stay close to their
 expectation, not only the copies.
 
-The prefix sum is distributed: documents fall into parts of their source, by size class and a hash; the parts' sums (at
-most sources * classes * HASHES rows) are added up first, and each part sums its own documents from there. No task gets
-a whole source.
+The prefix sum is distributed: documents fall into parts of their source, by size class and a hash; the parts' counts are
+added up first, and each part numbers its own documents from there. A source of more than HASHES * PART documents has
+more hash parts, so a part stays below PART documents, also where all are of one size. No task gets a whole source.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from docsift.llm.tokens import count_tokens
 from docsift.session import cut
 
-#: Size classes for every doubling of the number of tokens, and hash parts of a class.
+#: Size classes for every doubling of the number of tokens, hash parts of a class, and documents of a part.
 CLASSES = 16
 HASHES = 32
+PART = 100_000
 
 
 def offset_of(seed: int, source: str | None) -> float:
@@ -74,14 +75,15 @@ def mixture(sized: DataFrame, planned: DataFrame, seed: int = 20_24) -> DataFram
     whatever the partitioning, as the order within a source is (size class, hash, size, doc_id).
     """
     offset = F.udf(lambda s: offset_of(seed, s), "double")  # once per source
-    rates = planned.filter("copies > 0").select("source", "copies", "max_repeats").withColumn("start", offset("source"))
+    hashes = F.greatest(F.lit(HASHES), F.ceil(F.col("docs") / F.lit(PART))).alias("hashes")
+    rates = planned.filter("copies > 0").select("source", "copies", "max_repeats", hashes).withColumn("start", offset("source"))
     size_class = F.floor(F.log2(F.col("n_tokens").cast("double")) * CLASSES)
-    docs = sized.withColumn("bucket", (size_class * HASHES + F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HASHES))).cast("int"))
+    docs = sized.join(F.broadcast(rates), "source").withColumn("bucket", size_class * F.col("hashes") + F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("hashes")))
     parts = docs.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over the parts of a source
     offsets = parts.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("source", "bucket").orderBy("n_tokens", "doc_id")
-    ranked = docs.withColumn("rank", F.row_number().over(within)).join(offsets, ["source", "bucket"]).join(F.broadcast(rates), "source")
+    ranked = docs.withColumn("rank", F.row_number().over(within)).join(offsets, ["source", "bucket"])
     # the boundary a document's interval crosses: floor of its end less floor of its begin
     rank = F.col("before") + F.col("rank")
     upto = lambda k: F.floor(F.col("start") + k * F.col("copies"))
