@@ -418,7 +418,7 @@ def find_noise(doc_text: DataFrame, source: str = "ocr") -> Found:
     units = cut(pages.mapInPandas(_units(weights), _UNITS))
 
     words = units.filter("what = 'word'")
-    known = spread(words.select("word"), "word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("before"), F.coalesce("clean", F.lit(0)).alias("clean"))
+    known = words.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("before"), F.coalesce("clean", F.lit(0)).alias("clean"))
     proposed = known.mapInPandas(_propose, f"word string, before bigint, clean bigint, edits {_EDITS}, edited string")
     after = counts.select(F.col("word").alias("edited"), F.col("n").alias("after"))
     options = proposed.join(after, "edited").groupBy("word").agg(F.first("before").alias("before"), F.first("clean").alias("clean"), F.sort_array(F.collect_list(F.struct("edits", "after"))).alias("options"))
