@@ -294,7 +294,7 @@ def place_classes(addresses: DataFrame, towns: DataFrame, window: int = WINDOW)
     Null and empty texts and texts without a letter are left out. ``place`` is the number of the first record linked to
     the text's components directly or through others; equal components share it without any comparison.
     """
-    texts = spread(addresses.filter(F.length(F.trim("text")) > 0).select("text"), "text").distinct()
+    texts = spread(addresses.filter(F.length(F.trim("text")) > 0).select("text").distinct(), "text")
     read, texts_read = measured(read_addresses(texts, "text", towns), n=F.count("*"))
     orders = list(ORDERS.values())
     first, got = measured(numbered(read.select(*PARTS).distinct(), orders[0], "rec"), n=F.count("*"))
