@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsift.llm import addresses, groups, lookalikes, mixing, name_parts, names, personal, queries, scan_noise, tokens
 from docsift.llm.common import _in_blocks, _rows, cells, classes_within, pairs_within
-from docsift.session import numbered
+from docsift.session import cut, numbered
 
 TOWNS = "city_name string, state_code string, country_name string, code_prefix string, code_length int"
 
@@ -202,6 +203,29 @@ def test_radius_join_against_brute_force(spark):
         assert got == want
 
 
+def test_radius_join_moves_few_rows_for_a_word_of_a_large_sector(spark):
+    def moved():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 7))) for _ in range(1_500)})
+    words += [words[0][:3] + c + words[0][3:] for c in "klmnopqrstuv"]  # one cell of many words
+    df = spark.createDataFrame([(str(i), "s", w) for i, w in enumerate(words)], "rec string, sector string, core string")
+    before = moved()
+    got = {tuple(sorted(map(int, r))) for r in names.radius_pairs(df, 1, cell=5).collect()}
+    after = moved()
+    met = {}
+    for i, w in enumerate(words):
+        for v in name_parts.variants(w, 1):
+            met.setdefault(v, set()).add(i)
+    want = {(i, j) for m in met.values() for i in m for j in m if i < j and name_parts.distance(words[i], words[j]) <= 1}
+    assert got == want and len(want) > 70
+    assert sum(n for k, n in after.items() if k not in before) < 12 * len(words)
+
+
 def test_names(spark):
     a = ["Gresbilock Chemical Industries Ltd", "gresbiloock chem. inds", "Chem. Inds, Gresbilock Limited", "GresbilockChemicalIndustries", "Gresbilock Steel Fabricators Ltd",
          "Elizabeth Haneura", "Haneura, Lizzie", "E. Haneura", "HANEURA Elizabeth", "Mr. elizabeth haneura - sole trader", "Edward Norbank", "Eleanor Norbank", "E. Norbank", None, "", "--"]
@@ -304,3 +328,20 @@ def test_editor_on_held_out_words():
 
 def test_queries_are_registered():
     assert {f"p{n}_" for n in (1, 3, 4, 5, 6, 7, 8, 9)} == {q[:3] for q in queries.queries()}
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    counted = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = files()
+    assert cut(counted).agg(F.sum("count")).first()[0] == 1_000
+    end = time.time() + 10  # they are removed in the background
+    steps = lambda: {name.split("_")[1] for name in files() - before}
+    while len(steps()) > 1 and time.time() < end:
+        time.sleep(0.2)
+    assert len(steps()) <= 1  # only that of the sum, which is not cut
