@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 
 JSWS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The part of JSWS that ASCII text can hold.
+ASCII_WS = r"[\t\n\x0B\f\r ]"
 #: An ASCII word boundary in Java.
 B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 RE2_B = r"\b"

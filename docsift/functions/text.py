@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docsift.functions.regexes import JSWS, PAGE_MARKER, phrase
+from docsift.functions.regexes import ASCII_WS, JSWS, PAGE_MARKER, phrase
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,12 +18,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def has_phrase(text_c: Column, low: Column, words: str) -> Column:
     """Whether collapsed text holds a label or keyword; ``low`` is the text in lower case, searched first, as a plain
     search costs far less than the pattern with its boundaries."""
-    return low.contains(" ".join(words.lower().split())) & text_c.rlike("(?i)" + phrase(words))
+    return holds(low, words) & from_first(text_c, low, words).rlike("(?i)" + phrase(words))
+
+
+def holds(low: Column, words: str) -> Column:
+    """Whether collapsed text in lower case holds the words, whatever is around them."""
+    return low.contains(_plain(words))
+
+
+def from_first(text_c: Column, low: Column, words: str) -> Column:
+    """Collapsed text from the character before the first place where ``low`` holds the words on; no pattern that begins
+    with them matches earlier. Text that isn't ASCII stays whole, as its lower case may have other places."""
+    return F.when(is_ascii(text_c), F.substring(text_c, F.instr(low, _plain(words)) - 1, F.length(text_c))).otherwise(text_c)
+
+
+def _plain(words: str) -> str:
+    return " ".join(words.lower().split())
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def collapse_ws(text: Column) -> Column:
-    """Every run of white space as one space; not trimmed; null for null."""
-    return F.regexp_replace(text, JSWS + "+", " ")
+    """Every run of white space as one space; not trimmed; null for null.
+
+    In ASCII only runs that aren't one space already are matched, by a class that costs far less for each character.
+    """
+    quick = F.regexp_replace(text, rf"(?: (?={ASCII_WS})|[\t\n\x0B\f\r]){ASCII_WS}*", " ")
+    return F.when(is_ascii(text), quick).otherwise(F.regexp_replace(text, JSWS + "+", " "))
 
 
 def split_lines(text: Column) -> Column:

@@ -12,18 +12,18 @@ from docsift.operators.extract import run_extractor
 
 
 def split_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``text_c`` (collapsed) and ``lines``."""
-    return df.withColumn("text_c", collapse_ws(F.col(text))).withColumn("lines", split_lines(F.col(text)))
+    """``df`` with ``text_c`` (collapsed), ``text_low`` (that in lower case, computed once for all searches) and ``lines``."""
+    return df.withColumn("text_c", collapse_ws(F.col(text))).withColumn("text_low", F.lower("text_c")).withColumn("lines", split_lines(F.col(text)))
 
 
 def classify(df: DataFrame, config: Config | None = None, text: str = "text") -> DataFrame:
     """``df`` with ``documentType``; Unknown for null and empty texts."""
     config = config or default()
-    return split_text(df, text).withColumn("documentType", document_type(keyword_scores(F.coalesce("text_c", F.lit("")), config)))
+    return split_text(df, text).withColumn("documentType", document_type(keyword_scores(F.coalesce("text_c", F.lit("")), config, F.coalesce("text_low", F.lit("")))))
 
 
 def _field(spec, config: Config) -> Column:  # noqa: ANN001
-    value = run_extractor(spec, F.col("text_c"), F.col("lines"))
+    value = run_extractor(spec, F.col("text_c"), F.col("lines"), F.col("text_low"))
     return (value if spec.applies_to is None else F.when(F.col("documentType").isin(list(spec.applies_to)), value)).alias(spec.name)
 
 
@@ -34,4 +34,4 @@ def analyze(df: DataFrame, config: Config | None = None, text: str = "text") ->
     """
     config = config or default()
     typed = classify(df, config, text)
-    return typed.withColumn("fields", F.struct(*(_field(f, config) for f in config.fields))).drop("text_c", "lines", text)
+    return typed.withColumn("fields", F.struct(*(_field(f, config) for f in config.fields))).drop("text_c", "text_low", "lines", text)

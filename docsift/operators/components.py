@@ -10,25 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.operators.pointers import climb, relabelled
-from docsift.session import HOT, discard, hot_keys, join_hot, measured
+from docsift.session import HOT, HOT_KEYS, discard, join_hot, measured
 
 #: Links that one task contracts, after the first round.
 TAIL = 100_000
 
 
-def star_edges(keys: DataFrame, hot: int = HOT, n: int | None = None) -> DataFrame:
+def star_edges(keys: DataFrame, hot: int = HOT) -> DataFrame:
     """``(field, value, hub, doc_ix)``: of every value the link of each later document to its first one, not all pairs.
 
-    ``keys`` has ``doc_ix, field, value``; repeated rows count once. A value of very many documents is joined apart;
-    ``n`` is a known bound of the number of rows.
+    ``keys`` has ``doc_ix, field, value``; repeated rows count once. The link of a value of two documents comes from their
+    least and largest number, without moving the rows again; the rows of values of more are joined with their first
+    one, those of a value of very many apart.
     """
-    rows = keys.select("field", "value", "doc_ix").distinct()
-    if n is None or n > hot:
-        rows, got = measured(rows, n=F.count("*"))
-        n = got["n"]
-    first = rows.groupBy("field", "value").agg(F.min("doc_ix").alias("hub"))
     on = ["field", "value"]
-    return join_hot(rows, first, on, hot_keys(rows, on, n, hot), "inner").filter("doc_ix <> hub").select("field", "value", "hub", "doc_ix")
+    rows = keys.select(*on, "doc_ix").filter("field is not null and value is not null")
+    groups = rows.groupBy(*on).agg(F.min("doc_ix").alias("hub"), F.max("doc_ix").alias("last"), F.count("*").alias("n")).filter("hub <> last")
+    groups, got = measured(groups, more=F.coalesce(F.sum(F.when(F.col("n") > 2, F.col("n"))), F.lit(0)), most=F.coalesce(F.max("n"), F.lit(0)))
+    links = groups.filter("n = 2").select(*on, "hub", F.col("last").alias("doc_ix"))
+    if not got["more"]:
+        return links
+    least = max(hot, got["more"] // HOT_KEYS)
+    first = groups.filter("n > 2").select(*on, "hub")
+    few = groups.filter(F.col("n") > least).select(*on) if got["most"] > least else None
+    stars = join_hot(rows, first, on, few, "inner").filter("doc_ix <> hub").select(*on, "hub", "doc_ix").distinct()
+    return links.unionByName(stars)
 
 
 def smallest_linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +65,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInPandas(run, "v bigint, p bigint")
 
 
-def components(docs: DataFrame, keys: DataFrame, hot: int = HOT, n: int | None = None, tail: int = TAIL) -> DataFrame:
+def components(docs: DataFrame, keys: DataFrame, hot: int = HOT, tail: int = TAIL) -> DataFrame:
     """``(doc_ix, component)``: the smallest document linked to each over ``keys (doc_ix, field, value)``.
 
     The links are the stars of star_edges(). Rounds of: every document points to its least neighbour, if that is smaller;
@@ -67,7 +73,7 @@ def components(docs: DataFrame, keys: DataFrame, hot: int = HOT, n: int | None =
     shrink from round to round until none is left; few are contracted in one task. A document or component that very
     many links share is joined apart, so no task gets it whole. Documents without a key are alone.
     """
-    edges, got = measured(star_edges(keys, hot, n).select(F.col("hub").alias("a"), F.col("doc_ix").alias("b")).distinct(), n=F.count("*"))
+    edges, got = measured(star_edges(keys, hot).select(F.col("hub").alias("a"), F.col("doc_ix").alias("b")).distinct(), n=F.count("*"))
     steps: list[tuple[DataFrame, int]] = []
     while n := got["n"]:
         if steps and n <= tail:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsift.config import FieldSpec
 from docsift.functions import regexes as R
-from docsift.functions.text import empty_to_null, let, utf16_length
+from docsift.functions.text import empty_to_null, from_first, holds, let, utf16_length
 
 Extractor = Callable[[FieldSpec, Column, Column], Column]
 
@@ -18,14 +18,13 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-def _holds(low: Column, label: str) -> Column:
-    return low.contains(" ".join(label.lower().split()))
-
-
-def labeled_id(field: FieldSpec, text_c: Column, lines: Column) -> Column:
-    """The id after the first label, in the order of the configuration, that is followed by one; in upper case."""
-    low = F.lower(text_c)
-    hits = [F.when(_holds(low, label), empty_to_null(F.upper(F.regexp_extract(text_c, R.labeled_id(label), 1)))) for label in field.labels]
+def labeled_id(field: FieldSpec, text_c: Column, lines: Column, low: Column | None = None) -> Column:
+    """The id after the first label, in the order of the configuration, that is followed by one; in upper case. ``low`` is
+    the text in lower case, where a column has it already."""
+    low = F.lower(text_c) if low is None else low
+    # the first of all hits is null where there is none; a test for '' would match twice
+    found = lambda label: F.try_element_at(F.regexp_extract_all(from_first(text_c, low, label), F.lit(R.labeled_id(label)), F.lit(1)), F.lit(1))
+    hits = [F.when(holds(low, label), F.upper(found(label))) for label in field.labels]
     return F.coalesce(*hits) if hits else _null()
 
 
@@ -36,7 +35,7 @@ def amount_labeled(labels: tuple[str, ...], lines: Column) -> Column:
 
     def hit(line: Column) -> Column:
         low = F.lower(line)
-        return F.coalesce(*(F.when(_holds(low, label), empty_to_null(F.regexp_extract(line, R.labeled_amount(label), 1))) for label in reversed(labels)))
+        return F.coalesce(*(F.when(holds(low, label), empty_to_null(F.regexp_extract(line, R.labeled_amount(label), 1))) for label in reversed(labels)))
 
     return F.try_element_at(F.filter(F.transform(lines, hit), lambda x: x.isNotNull()), F.lit(-1))
 
@@ -135,7 +134,9 @@ def register_extractor(name: str, build: Extractor) -> None:
     EXTRACTORS[name] = build
 
 
-def run_extractor(field: FieldSpec, text_c: Column, lines: Column) -> Column:
-    """The value of a field; null for an extractor that isn't known."""
+def run_extractor(field: FieldSpec, text_c: Column, lines: Column, low: Column | None = None) -> Column:
+    """The value of a field; null for an extractor that isn't known. ``low`` is as in labeled_id()."""
     build = EXTRACTORS.get(field.extractor)
+    if build is labeled_id:
+        return build(field, text_c, lines, low)
     return build(field, text_c, lines) if build else _null()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from functools import partial
 
 import pandas as pd
@@ -71,7 +72,8 @@ def _rendered_analyze(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rendered(spark: SparkSession, d: str) -> Segregated:
-    return Segregated(flat_documents(rendered_docs(spark, d), CONFIG), {f.name: f"fields.{f.name}" for f in CONFIG.batch_keys})
+    linking = replace(CONFIG, fields=tuple(CONFIG.batch_keys))  # no other field is extracted for batches
+    return Segregated(flat_documents(rendered_docs(spark, d), linking), {f.name: f"fields.{f.name}" for f in linking.fields})
 
 
 def rendered_batches(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.session import table
+from docsift.session import spread, table
 
 
 def rendered_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -13,7 +13,7 @@ def rendered_docs(spark: SparkSession, d: str) -> DataFrame:
     divides k) and a memo (if 10 divides k), with ``doc_ix`` 4 * k + 0 to 3."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_totalprice", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").alias("n_nationkey"))
-    whole = orders.join(customers, "o_custkey").join(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    whole = spread(orders.join(customers, "o_custkey").join(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey"), "k")
     say = lambda *parts: F.concat(*(F.col(p[1:]) if p.startswith("$") else F.lit(p) for p in parts))
     whole = whole.withColumn("price", F.format_number("o_totalprice", 2)).withColumn("half", F.format_number(F.col("o_totalprice") * 0.5, 2)).withColumn("code", F.col("o_custkey") + 400_000)
     head = [say("$c_name", " Pvt Ltd"), say("$o_custkey", " Market Street, ", "$n_name", " ", "$code")]

@@ -2,6 +2,7 @@ import json
 import os
 import random
 import zlib
+from datetime import datetime
 
 import duckdb
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from docsift.config import default, from_dict
 from docsift.functions import regexes as R
+from docsift.operators import analyze as analysis
 from docsift.operators import images
 from docsift.operators.analyze import analyze, split_text
 from docsift.operators.batches import Segregated
@@ -162,6 +164,26 @@ def test_components_of_chains_and_fields(spark):
     assert {got[i] for i in range(20)} == {0} and got[30] == 30 and got[31] == 31 and got[39] == 39
 
 
+def test_linking_extracts_keys_only(spark, tmp_path, monkeypatch):
+    asked = []
+    real = analysis.run_extractor
+    monkeypatch.setattr(analysis, "run_extractor", lambda f, *a: asked.append(f.name) or real(f, *a))
+    spark.createDataFrame([(k, 1, 10.5, datetime(2024, 5, 1)) for k in range(1, 31)], "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "C", 2)], "c_custkey bigint, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(2, "N")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = __spark_entry__.queries()["rendered_batches"](spark, str(tmp_path)).collect()
+    assert sorted((r["batch_id"], r["file_count"]) for r in got) == sorted((f"BATCH-INV-{k}", 1 + (k % 5 != 0) + (k % 3 == 0)) for k in range(1, 31) if k % 5 or k % 3 == 0)
+    assert asked == ["documentNumber", "referenceNumber"]
+
+
+def test_white_space_and_labels_in_any_text(spark):
+    texts = ["a  b\t\n c\x0b", " x ", "é\u00a0 b", "İİ Invoice No: A-1", "xinvoice no 7 Invoice No: B-22", "a\u2003b", None]
+    df = split_text(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i")
+    spec = next(f for f in default().fields if f.name == "documentNumber")
+    got = df.select("text_c", analysis.run_extractor(spec, F.col("text_c"), F.col("lines"), F.col("text_low"))).collect()
+    assert [tuple(r) for r in got] == [("a b c ", None), (" x ", None), ("é b", None), (texts[3], "A-1"), (texts[4], "B-22"), ("a b", None), (None, None)]
+
+
 def test_conflicts_and_label_collision(spark):
     rows = [(0, "X", "r1"), (1, "Y", "r1"), (2, None, "X"), (3, "", "X")]
     docs = spark.createDataFrame(rows, "doc_ix bigint, dn string, rn string").select("doc_ix", F.lit("f").alias("file_name"), F.lit("t").alias("document_type"), F.lit("text").alias("source"), "dn", "rn")
